@@ -1,0 +1,52 @@
+from collections import defaultdict
+
+from timberline.llm import line_dedup as D
+
+
+def _brute(rows, sites=5, chars=20):
+    seen, first = defaultdict(set), {}
+    for i, text, s in rows:
+        for x in (text or "").split("\n") if text is not None else []:
+            k = x.strip(" \t\r")
+            if len(k) >= chars:
+                seen[k].add(s)
+                if i is not None:
+                    first[k] = min(i, first.get(k, i))
+    bad = {k for k, v in seen.items() if len(v) >= sites}
+    out = []
+    for i, text, _ in rows:
+        if text is None or i is None:
+            out.append((i, text))
+            continue
+        keep = [x for x in text.split("\n") if not (x.strip(" \t\r") in bad and first[x.strip(" \t\r")] != i)]
+        out.append((i, "\n".join(keep)))
+    return out
+
+
+def _run(spark, rows, **options):
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, removed int")
+    got = D.remove(docs, D.boilerplate(docs, **options), removed_col="removed")
+    assert set(got.columns) == set(docs.columns)
+    return [(r["doc_id"], r["text"]) for r in got.collect()]
+
+
+def _key(x):
+    return (x[0] is None, x[0] or 0, x[1] or "")
+
+
+def test_against_brute_force(spark):
+    line = "subscribe to our newsletter today"
+    rows = [(i, f"own text of document number {i}\n{line} \nshort\n{line}", f"s{i % 6}") for i in range(20)]
+    rows += [(100 + i, f"only four sites have this very line\nx{i}", f"s{i % 4}") for i in range(12)]
+    rows += [(200 + i, "exactly five sites have this line ok", f"s{i}") for i in range(4)] + [(300, "exactly five sites have this line ok", None)]
+    rows += [(400, None, "s1"), (401, "", "s2"), (None, line, "s3"), (402, "\n\n", "s1"), (1, rows[1][1], "s9")]
+    assert sorted(_run(spark, rows), key=_key) == sorted(_brute(rows), key=_key)
+
+
+def test_real_documents(spark, sf):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(_run(spark, rows, min_sites=3), key=_key) == sorted(_brute(rows, 3), key=_key)
+
+
+def test_empty(spark):
+    assert _run(spark, []) == []

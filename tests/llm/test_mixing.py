@@ -1,0 +1,78 @@
+import hashlib
+import re
+from collections import defaultdict
+
+from timberline.llm import mixing as M
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _targets(sizes, weights=(3, 1, 2), budget=1.5, repeats=2):
+    """By bisection on the common level."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, lo, hi = budget * sum(sizes.values()), 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(repeats * sizes[s], w[s] * mid) for s in names) < total else (lo, mid)
+    return {s: min(repeats * sizes[s], w[s] * hi) for s in names}
+
+
+def _brute(rows):
+    docs = [(i, s, len(WORD.findall(t or ""))) for i, t, s in rows]
+    sizes = defaultdict(int)
+    for _, s, n in docs:
+        sizes[s] += n
+    target, out = _targets(sizes), []
+    for source in sizes:
+        own = sorted((hashlib.md5(str(i).encode() if i is not None else b"null").hexdigest(), i, n) for i, s, n in docs if s == source)
+        end = 0
+        for _, i, n in own:
+            end += n
+            copies = sum(end + r * sizes[source] - n / 2 <= target[source] + 1e-6 for r in range(2)) if n else 0
+            out.append((i, n, sizes[source], round(target[source], 3), copies * n))
+    return sorted(out, key=str)
+
+
+def _run(spark, rows):
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, size int")
+    got = M.schedule(docs).collect()
+    return sorted([(r["id"], r["size"], r["source_size"], round(r["target"], 3), r["taken"]) for r in got], key=str)
+
+
+def test_against_brute_force(spark):
+    rows = [(i, "w " * (i * 7 % 50), ("a", "b", "é", None)[i % 4 if i % 3 else 0]) for i in range(300)]
+    rows += [(1000, None, "z"), (1001, "", "b"), (1002, "x\ty\u00a0z\nq", "only"), (None, "null id here", "b")]
+    got = _run(spark, rows)
+    assert got == _brute(rows)
+
+
+def test_shares(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = M.schedule(docs).join(docs.select(docs["doc_id"].alias("id"), "source"), "id").groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"]
+
+
+def test_mixed_stream(spark):
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = M.mix(docs)
+    assert out.columns == docs.columns
+    copies = defaultdict(int)
+    for r in out.collect():
+        copies[r["doc_id"]] += 1
+    want = {r["id"]: r["copies"] for r in M.schedule(docs).collect() if r["copies"]}
+    assert dict(copies) == want
+
+
+def test_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(M, "LEAF_ROWS", 1 / 256)
+    rows = [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(300)]
+    assert _run(spark, rows) == _brute(rows)
+
+
+def test_edges(spark):
+    assert _run(spark, []) == []
+    assert _run(spark, [(1, None, None), (2, "", None)]) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    assert _run(spark, [(1, "a b", "s"), (1, "a b", "s")]) == [(1, 2, 4, 6.0, 2), (1, 2, 4, 6.0, 4)]

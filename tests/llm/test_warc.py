@@ -1,0 +1,57 @@
+import base64
+import hashlib
+
+from timberline.llm import warc as W
+
+ROWS = [(5, "http://a/", "<p>x</p>"), (3, "http://b/\r\nX-Evil: 1", "<p>x</p>"), (4, None, None), (9, "u", ""), (7, "http://é/", "é" * 5000), (8, "http://c/", "<p>x</p>"), (2, "k", "only")]
+
+
+def _write(spark, rows, path):
+    W.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+
+
+def test_summary(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    _write(spark, ROWS, path)
+    got = {r["page_id"]: r for r in W.summary(spark, path).collect()}
+    first = {}
+    for i, _, h in ROWS:
+        first[h or ""] = min(i, first.get(h or "", i))
+    assert len(got) == len(ROWS)
+    for i, _, h in ROWS:
+        body = (h or "").encode()
+        r = got[i]
+        assert r["payload_bytes"] == len(body) and r["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if first[h or ""] == i else ("revisit", first[h or ""]))
+    assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for _, _, h in ROWS})
+
+
+def test_records_round_trip(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    _write(spark, ROWS, path)
+    html = {i: (h or "").encode() for i, _, h in ROWS}
+    ids = {}
+    for r in W.records(spark, path).collect():
+        head, block = bytes(r["record"]).split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        assert "X-Evil" not in fields and fields["WARC-Type"] == r["record_type"]
+        size = int(fields["Content-Length"])
+        assert block[size:] == b"\r\n\r\n"
+        http, body = block[:size].split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK")
+        assert body == (html[r["page_id"]] if r["record_type"] == "response" else b"") and bytes(r["payload"]) == html[r["page_id"]]
+        ids[r["page_id"]] = fields
+    assert ids[5]["WARC-Refers-To"] == ids[3]["WARC-Record-ID"]
+    assert len({f["WARC-Record-ID"] for f in ids.values()}) == len(ROWS)
+
+
+def test_edges(spark, tmp_path):
+    _write(spark, [], f"file://{tmp_path}/e")
+    assert W.summary(spark, f"file://{tmp_path}/e").count() == 0
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, "u", "x"), (None, "v", "y"), (None, "v", "y")]
+    _write(spark, rows, f"file://{tmp_path}/d")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in W.summary(spark, f"file://{tmp_path}/d").collect())
+    assert got == [(0, "response", 0), (0, "response", 0), (0, "revisit", 1), (1, "response", 0), (1, "response", 0), (2, "revisit", 1)]
+    assert spark.read.parquet(f"file://{tmp_path}/d/payloads").count() == 2

@@ -14,10 +14,11 @@ Steps:
    weighted Jaccard similarity of the whole texts, from all their shingles, must reach ``threshold``.
 3. Connected components are found by alternating large-star and small-star steps.
 4. A bucket whose texts are still in several components is taken up again: its texts outside the largest component are
-   compared with all its texts, in blocks of bounded size, by their samples. Pairs of different components whose share of
-   equal samples is at least ``sample_floor`` (3.3 standard deviations below the threshold) are verified as in step 2, and
-   components are found anew. So a link within a bucket is either verified, or lies within a component, or its samples
-   rule it out; no bucket is capped.
+   compared with all its texts, in blocks of bounded size. Pairs of different components whose share of equal samples is
+   at least ``sample_floor`` (3.3 standard deviations below the threshold), and that share no earlier band, are verified
+   as in step 2, likeliest first, until a text is linked to a component or all its pairs with it are done. Then components
+   are found anew. So a link within a bucket is either verified, or lies within a component, or its samples rule it out;
+   no bucket is capped, and no pair leaves a block but a verified link.
 
 Defined results: a null text counts as empty; all texts without a word that are equal are one class, as equal texts are;
 rows that repeat an id and a text are one document; a row with a null id has a null class; an empty table gives no rows.
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from timberline.llm._shared import HASH_BITS, bound_batches, chunks, join_unique, mix, shingles, spill, text_buffer
 
 WIDTH = 5
-MEMBER_BLOCK, MINOR_BLOCK = 1024, 256
+MEMBER_BLOCK, MINOR_BLOCK = 128, 64
+# Texts of a block are about this long together.
+BLOCK_BYTES = 1 << 20
 SEND_ROWS = 1_000_000
 
 # --- document frequencies -----------------------------------------------------------------------------------------
@@ -194,8 +197,8 @@ def _sign(weights, samples: int, rows: int):
                 full[i + some] = True
             offsets = np.concatenate([[0], np.cumsum(np.where(full, bands.shape[1], 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("g"), pa.ListArray.from_arrays(offsets, pa.array(bands[full].ravel())), pa.array([r.tobytes() for r in short], pa.binary())],
-                ["id", "g", "bands", "samples"],
+                [batch.column("id"), batch.column("g"), pa.ListArray.from_arrays(offsets, pa.array(bands[full].ravel())), pa.array([r.tobytes() for r in short], pa.binary()), pa.array(np.diff(at))],
+                ["id", "g", "bands", "samples", "bytes"],
             )
 
     return run
@@ -273,31 +276,62 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(roots)
 
 
-# --- the operator -------------------------------------------------------------------------------------------------
+# --- links inside a bucket ----------------------------------------------------------------------------------------
+
+
+def _cell(column: pa.Array, r: int, samples: int):
+    """The ids, labels, samples and texts of one block."""
+    a, b = column.offsets[r].as_py(), column.offsets[r + 1].as_py()
+    part = column.values.slice(a, b - a)
+    data = part.field("samples")
+    bits = np.frombuffer(b"".join(data.to_pylist()), np.uint16).reshape(b - a, samples)
+    return part.field("id").to_numpy(), part.field("label").to_numpy(), bits, part.field("t")
+
 
+def _likely_pairs(sa, sb, la, lb, band: int, rows: int, floor: float):
+    """Places x, y of pairs with different labels, enough equal samples and no common band before ``band``; and the share."""
+    equal, earlier = np.zeros((len(sa), len(sb)), np.int16), np.zeros((len(sa), len(sb)), bool)
+    for j in range(sa.shape[1] // rows):
+        whole = np.ones(equal.shape, bool)
+        for k in range(j * rows, (j + 1) * rows):
+            same = sa[:, k, None] == sb[:, k]
+            equal += same
+            whole &= same
+        if j < band:
+            earlier |= whole
+    x, y = np.nonzero((equal >= floor * sa.shape[1]) & (la[:, None] != lb) & ~earlier)
+    return x, y, equal[x, y]
 
-def _compare_blocks(samples: int, floor: float):
-    def unpack(cell):
-        ids = np.array([x["id"] for x in cell], np.int64)
-        return ids, np.array([x["label"] for x in cell], np.int64), np.frombuffer(b"".join(x["samples"] for x in cell), np.uint16).reshape(len(ids), samples)
 
+def _link_blocks(samples: int, rows: int, floor: float, threshold: float, weights):
     def run(batches):
         for batch in batches:
-            out: list = []
+            links: list[tuple[int, int]] = []
             for r in range(batch.num_rows):
-                ia, la, sa = unpack(batch.column("minors")[r].as_py())
-                ib, lb, sb = unpack(batch.column("members")[r].as_py())
-                equal = np.zeros((len(ia), len(ib)), np.int32)
-                for k in range(samples):
-                    equal += sa[:, k, None] == sb[:, k]
-                x, y = np.nonzero((equal >= floor * samples) & (la[:, None] != lb))
-                out.append(np.stack([np.maximum(ia[x], ib[y]), np.minimum(ia[x], ib[y])]))
-            found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+                ia, la, sa, ta = _cell(batch.column("minors"), r, samples)
+                ib, lb, sb, tb = _cell(batch.column("members"), r, samples)
+                x, y, share = _likely_pairs(sa, sb, la, lb, batch.column("band")[r].as_py(), rows, floor)
+                goal = np.unique(np.stack([x, lb[y]]), axis=1, return_inverse=True)[1].ravel() if len(x) else x
+                order = np.lexsort((-share, goal))
+                x, y, goal = x[order], y[order], goal[order]
+                while len(x):  # of each text and component the likeliest pairs, more of them each time
+                    place = np.arange(len(goal)) - np.searchsorted(goal, goal)
+                    now = place < 8
+                    sim = weighted_jaccard(ta.take(pa.array(x[now])), tb.take(pa.array(y[now])), weights.value)
+                    hit = np.flatnonzero(sim >= threshold)
+                    _, one = np.unique(goal[now][hit], return_index=True)
+                    links += zip(ia[x[now][hit[one]]].tolist(), ib[y[now][hit[one]]].tolist())
+                    rest = ~now & ~np.isin(goal, goal[now][hit])
+                    x, y, goal = x[rest], y[rest], goal[rest]
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["a", "b"])
 
     return run
 
 
+# --- the operator -------------------------------------------------------------------------------------------------
+
+
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5,
     common_share: float = 0.1, common_docs: int = 100, least_idf: float = 0.8, sample_floor: float = 0.68,
@@ -311,14 +345,14 @@ def classes(
     weights = spark.sparkContext.broadcast(Weights(total, h, n, common_share, least_idf))
 
     signed = texts.select("id", "t", F.unhex(F.sha2("t", 256)).alias("g"))
-    signed = spill(signed.mapInArrow(_sign(weights, samples, rows), "id long, g binary, bands array<long>, samples binary"), "samples")
+    signed = spill(signed.mapInArrow(_sign(weights, samples, rows), "id long, g binary, bands array<long>, samples binary, bytes long"), "samples")
     # equal texts: one id each
     same = spill(signed.groupBy("g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "same")
     owner = spill(join_unique(signed.select("id", "g"), same, ["g"], "n", total).groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n")), "owner")
     unique = signed.join(same.select("g", F.col("rep").alias("id")), ["g", "id"], "left_semi").dropDuplicates(["g", "id"])
     # an id with several texts can stand for several: its texts are compared under its id, one at a time
-    unique = spill(unique.select("id", "bands", "samples"), "unique")
-    in_band = unique.select("id", F.posexplode("bands").alias("band", "h")).select("id", F.xxhash64("band", "h").alias("bucket"))
+    unique = spill(unique.select("id", "g", "bands", "samples", "bytes"), "unique")
+    in_band = unique.select("id", "bytes", F.posexplode("bands").alias("band", "h")).select("id", "bytes", "band", F.xxhash64("band", "h").alias("bucket"))
     groups = spill(in_band.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = spill(join_unique(in_band, groups, ["bucket"], "n", max(1, total * bands)), "members")
 
@@ -330,22 +364,31 @@ def classes(
     # buckets that still hold several components
     sizes = spill(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     own = sizes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n")
-    labelled = spill(join_unique(members.select("bucket", "id"), own, ["id"], "n", max(1, total * bands)), "members")
-    per = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("top"))
-    mixed = spill(per.filter("top < size"), "mixed")
-    open_members = spill(join_unique(labelled, mixed.withColumn("n", F.col("size")), ["bucket"], "n", max(1, total * bands)), "open")
-    blocks = open_members.join(unique.select("id", "samples"), "id")
-    blocks = blocks.withColumn("parts", F.ceil((F.col("size") - F.col("top")) / F.lit(MINOR_BLOCK)).cast("int"))
-    cell = F.struct("id", "label", "samples")
-    spot = F.xxhash64(F.lit(3), "id")
-    minors = blocks.filter("label <> main").groupBy("bucket", F.pmod(spot, F.col("parts")).cast("int").alias("part")).agg(F.collect_list(cell).alias("minors"))
-    wide = F.ceil(F.col("size") / F.lit(MEMBER_BLOCK)).cast("int")
-    others = blocks.groupBy("bucket", "parts", F.pmod(spot, wide).cast("int").alias("block")).agg(F.collect_list(cell).alias("members"))
-    others = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    close = others.join(minors, ["bucket", "part"]).select("minors", "members").mapInArrow(_compare_blocks(samples, sample_floor), "a long, b long")
-    second = spill(close.distinct(), "pairs")
-    more = _verify(second, texts, weights, threshold)
+    labelled = spill(join_unique(members.select("bucket", "band", "id", "bytes"), own, ["id"], "n", max(1, total * bands)), "members")
+    per = labelled.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    per = per.groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("top"),
+        F.sum("bytes").alias("all_bytes"), F.max_by("bytes", F.struct("n", "label")).alias("top_bytes"),
+    )
+    blocks_of = lambda n, most, size: F.greatest(F.ceil(n / F.lit(most)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    mixed = per.filter("top < size").select(
+        "bucket", "main", F.col("size").alias("n"), blocks_of(F.col("size") - F.col("top"), MINOR_BLOCK, F.col("all_bytes") - F.col("top_bytes")).alias("parts"),
+        blocks_of(F.col("size"), MEMBER_BLOCK, F.col("all_bytes")).alias("blocks"),
+    )
+    mixed = spill(mixed, "mixed")
+    open_members = spill(join_unique(labelled.drop("bytes"), mixed, ["bucket"], "n", max(1, total * bands)), "open")
+    needed = spill(open_members.select("id").distinct(), "needed")
+    few = needed.count() <= SEND_ROWS
+    full = unique.select("id", "g", "samples").join(texts.join(F.broadcast(needed) if few else needed, "id", "left_semi").withColumn("g", F.unhex(F.sha2("t", 256))), ["id", "g"]).dropDuplicates(["id", "g"])
+    full = full.select("id", "samples", "t").join(needed.withColumn("spot", F.xxhash64(F.lit(3), "id")), "id")
+    full = open_members.join(full, "id")
+    cell = F.struct("id", "label", "samples", "t")
+    at = ["bucket", "band", "part", "block"]
+    minors = full.filter("label <> main").withColumn("part", F.pmod("spot", "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = full.withColumn("block", F.pmod("spot", "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    minors = minors.groupBy(*at).agg(F.collect_list(cell).alias("minors"))
+    others = others.groupBy(*at).agg(F.collect_list(cell).alias("members"))
+    more = spill(minors.join(others, at).select("band", "minors", "members").mapInArrow(_link_blocks(samples, rows, sample_floor, threshold, weights), "a long, b long"), "edges")
     final = components(linked.union(links).union(more))
     ids = owner.groupBy("id").agg(F.min("rep").alias("rep"))
     found = ids.join(final, "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"))
