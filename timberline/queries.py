@@ -1,10 +1,482 @@
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+"""The registered queries over the driver's tables, each beside its DuckDB oracle."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import os
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timberline.bindings import log_lines, plain_time, table
+from timberline.functions import maps, parse, text
+from timberline.operators import aggregate, combine, detect, events, filters, positions
+from timberline.operators.ordered import Stream
+from timberline.plans.config import Config
+from timberline.plans.pipeline import process, slice_lines
+
+KEYS = ("ts", "event_id")
+SINCE, UNTIL = datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc)
+_RANGE = "ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12'"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+TOKEN = r'token = "([0-9a-f]+)"'
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+# The log lines of the events table, as SQL.
+_L = """l AS (
+  SELECT event_id, user_id, event_type, ts, severity_rank, severity, message,
+         strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' ' || severity || ' ' || message AS raw
+  FROM (SELECT *, ['UNKNOWN','DEBUG','INFO','WARN','ERROR','FATAL'][severity_rank + 1] AS severity,
+               'user=' || user_id || ' type=' || event_type || ' cents=' || CAST(round(value * 100) AS BIGINT) || ' k=' || json_extract_string(props, '$.k') AS message
+        FROM (SELECT *, CAST(CASE WHEN event_type = 'error' THEN CASE WHEN value >= 100 THEN 5 ELSE 4 END
+                              WHEN event_type = 'signup' THEN 3 WHEN event_type = 'view' THEN 1 ELSE 2 END AS INT) AS severity_rank FROM events)))"""
+_O = "ORDER BY ts, event_id"
+
+
+def query(sql: str | None = None, name: str | None = None, raw_sql: bool = False):
+    """Registers a function; its oracle is ``sql`` over the log lines l (raw_sql: over the tables alone)."""
+
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _ORACLES[key] = sql if raw_sql else f"WITH {_L}, {sql.strip()[5:]}" if sql.strip().upper().startswith("WITH ") else f"WITH {_L} {sql}"
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = log_lines(spark, sf_dir).select("raw")
+    lines = filters.match(parse.parse_lines(raw), SINCE, UNTIL, "WARN")
+    return plain_time(aggregate.bucket_counts(lines, timedelta(hours=1)), "start")
+
+
+_QUERIES["flagship"] = flagship
+_ORACLES["flagship"] = f"""WITH {_L} SELECT date_trunc('hour', ts) AS start, 0::BIGINT AS unknown, count(*) FILTER (severity = 'DEBUG') AS debug,
+    count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (severity = 'WARN') AS warn, count(*) FILTER (severity = 'ERROR') AS error,
+    count(*) FILTER (severity = 'FATAL') AS fatal, count(*) AS total
+    FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM l) WHERE {_RANGE} AND severity_rank >= 3 GROUP BY 1"""
+
+
+# --- scans and parsing --------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, raw FROM l")
+def scan_lines(spark, sf):
+    return log_lines(spark, sf).select("event_id", "raw")
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS ts, 'Z' AS tz_offset, severity, severity_rank, message FROM l")
+def parse_lines(spark, sf):
+    rows = parse.parse_lines(log_lines(spark, sf).select("event_id", "raw"))
+    return plain_time(rows.select("event_id", "ts", "tz_offset", "severity", "severity_rank", "message"), "ts")
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS ts FROM l")
+def parse_timestamp(spark, sf):
+    stamp = F.element_at(F.split("raw", " "), 1)
+    return plain_time(log_lines(spark, sf).select("event_id", parse.parse_timestamp(stamp).alias("ts")), "ts")
+
+
+@query("SELECT event_id, severity_rank, severity FROM l")
+def severity_rank(spark, sf):
+    rank = parse.severity_rank(F.element_at(F.split("raw", " "), 2))
+    return log_lines(spark, sf).select("event_id", rank.alias("severity_rank"), parse.severity_name(rank).alias("severity"))
+
+
+_SCHEMA = maps.LinePattern("event", r"user=(?P<user_id>\d+) type=(?P<kind>\w+)")
+
+
+@query(r"SELECT event_id, regexp_extract(raw, 'user=(\d+) type=(\w+)', 1) AS user_id, regexp_extract(raw, 'user=(\d+) type=(\w+)', 2) AS kind FROM l")
+def schema_match(spark, sf):
+    rows = log_lines(spark, sf).withColumn("fields", _SCHEMA.match(F.col("raw"))).filter("fields is not null")
+    return rows.select("event_id", F.col("fields")["user_id"].alias("user_id"), F.col("fields")["kind"].alias("kind"))
+
+
+@query(r"SELECT event_id, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'event' END AS name, CAST(user_id AS VARCHAR) AS user_id FROM l")
+def schema_match_first(spark, sf):
+    known = maps.PatternRegistry()
+    known.register(maps.LinePattern("failure", r"user=(?P<user_id>\d+) type=error"))
+    known.register(_SCHEMA)
+    rows = log_lines(spark, sf).withColumn("hit", known.match_first(F.col("raw"))).filter("hit is not null")
+    return rows.select("event_id", F.col("hit.name").alias("name"), F.col("hit.fields")["user_id"].alias("user_id"))
+
+
+_KV = "SELECT event_id, split_part(kv, '=', 1) AS key, split_part(kv, '=', 2) AS value FROM (SELECT event_id, unnest(string_split(message, ' ')) AS kv FROM l)"
+
+
+@query(_KV)
+def kv_extract_all(spark, sf):
+    return log_lines(spark, sf).select("event_id", F.explode(maps.extract_kv(F.col("message"))))
+
+
+@query(_KV + " WHERE split_part(kv, '=', 1) IN ('user', 'k')")
+def kv_extract_selected(spark, sf):
+    return log_lines(spark, sf).select("event_id", F.explode(maps.extract_kv(F.col("message"), "user", "k", "absent")))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS message FROM conversations GROUP BY conv_id", raw_sql=True)
+def coalesce_events(spark, sf):
+    rows = table(spark, sf, "conversations").withColumnRenamed("text", "message")
+    first = F.when(F.col("turn") == 0, F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)))
+    rows = rows.select("conv_id", "turn", first.alias("ts"), "message")
+    return events.coalesce_events(rows, 0, ("turn", "message"), ("conv_id",)).select("conv_id", "message")
+
+
+# --- filters ------------------------------------------------------------------------------------------------------
+
+_COLS = "event_id, ts, severity, message"
+
+
+def _cols(df: DataFrame) -> DataFrame:
+    return plain_time(df.select("event_id", "ts", "severity", "message"), "ts")
+
+
+@query(f"SELECT {_COLS} FROM l WHERE {_RANGE}")
+def filter_time_range(spark, sf):
+    return _cols(filters.time_range(log_lines(spark, sf), SINCE, UNTIL))
+
+
+@query(f"SELECT {_COLS} FROM l WHERE severity_rank >= 3")
+def filter_min_severity(spark, sf):
+    return _cols(filters.min_severity(log_lines(spark, sf), "WARN"))
+
+
+@query(f"SELECT {_COLS} FROM l WHERE {_RANGE} AND severity_rank >= 3")
+def filter_combined(spark, sf):
+    return _cols(filters.match(log_lines(spark, sf), SINCE, UNTIL, "WARN"))
+
+
+@query("SELECT event_id, raw FROM l WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-10' AND date_trunc('second', ts) <= TIMESTAMP '2024-01-12' AND severity_rank >= 3")
+def slice_basic(spark, sf):
+    return slice_lines(log_lines(spark, sf).select("event_id", "raw"), SINCE, UNTIL, "WARN").select("event_id", "raw")
+
+
+@query("SELECT event_id, raw FROM l WHERE regexp_matches(raw, 'type=(error|signup)')")
+def grep_match(spark, sf):
+    return filters.grep(log_lines(spark, sf), "type=(error|signup)").select("event_id", "raw")
+
+
+@query("SELECT event_id, raw FROM l WHERE NOT regexp_matches(raw, 'type=(error|signup)')")
+def grep_invert(spark, sf):
+    return filters.grep(log_lines(spark, sf), "type=(error|signup)", invert=True).select("event_id", "raw")
+
+
+# --- order-dependent operators ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT event_id, raw FROM (SELECT *, row_number() OVER ({_O}) AS n FROM l) WHERE n % 10 = 0")
+def sample_every_n(spark, sf):
+    return events.sample_every(log_lines(spark, sf), 10, KEYS).select("event_id", "raw")
+
+
+_RUNS = f"""WITH a AS (SELECT event_id, ts, event_type, lag(event_type) OVER ({_O}) AS was FROM l),
+  b AS (SELECT *, sum(CASE WHEN was IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END) OVER ({_O} ROWS UNBOUNDED PRECEDING) AS run FROM a),
+  c AS (SELECT run, arg_min(event_id, (ts, event_id)) AS event_id, any_value(event_type) AS event_type, count(*) - 1 AS more FROM b GROUP BY run) """
+
+
+@query(_RUNS + """SELECT event_id, event_type AS message, 0::BIGINT AS repeats FROM c UNION ALL
+  SELECT event_id, event_type || ' [repeated ' || more || ' time(s)]', more FROM c WHERE more > 0""")
+def dedupe_consecutive(spark, sf):
+    rows = log_lines(spark, sf).select("event_id", "ts", F.col("event_type").alias("message"))
+    return events.dedupe_runs(rows, KEYS).select("event_id", "message", "repeats")
+
+
+@query(f"SELECT event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type {_O}) AS was FROM l) WHERE was IS NULL OR ts - was > INTERVAL 10 MINUTE")
+def dedupe_windowed(spark, sf):
+    return events.dedupe_within(log_lines(spark, sf).withColumn("message", F.col("event_type")), 600, KEYS).select("event_id")
+
+
+@query(f"SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('second', ts) {_O}) AS n FROM l) WHERE n <= 1")
+def rate_limit(spark, sf):
+    return events.rate_limit(log_lines(spark, sf), 1, KEYS).select("event_id")
+
+
+@query(f"SELECT event_id, CAST((row_number() OVER ({_O}) - 1) // 100 AS BIGINT) AS emit_second FROM l")
+def throttle_schedule(spark, sf):
+    return events.throttle(log_lines(spark, sf), 100, KEYS).select("event_id", "emit_second")
+
+
+@query("SELECT event_id, ts FROM l WHERE ts >= (SELECT max(ts) FROM l) - INTERVAL 24 HOUR")
+def retention_window(spark, sf):
+    return plain_time(events.retain(log_lines(spark, sf), 86400, KEYS).select("event_id", "ts"), "ts")
+
+
+@query(f"SELECT event_id, CAST(row_number() OVER ({_O}) AS VARCHAR) AS seq FROM l")
+def enrich_sequence(spark, sf):
+    return events.sequence(log_lines(spark, sf), KEYS).select("event_id", "seq")
+
+
+@query(f"""WITH g AS (SELECT *, greatest(coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER ({_O})), 0), 0) AS gap FROM l)
+  SELECT event_id, CAST(floor(CAST(sum(gap) OVER ({_O} ROWS UNBOUNDED PRECEDING) AS BIGINT) / 10.0::DOUBLE) AS BIGINT) AS emit_us FROM g""")
+def replay_schedule(spark, sf):
+    return events.replay(log_lines(spark, sf), 10.0, KEYS).select("event_id", "emit_us")
+
+
+def _alert_sql(severity: str, threshold: int, hours: int, seconds: float, said: str) -> str:
+    return f"""SELECT event_id, ts AS fired_at, severity, count, {threshold}::BIGINT AS threshold, {seconds}::DOUBLE AS window_seconds,
+      'alert: {severity} count ' || count || ' >= threshold {threshold} in last {said}' AS alert
+      FROM (SELECT *, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL {hours} HOUR PRECEDING AND CURRENT ROW) AS count FROM l WHERE severity = '{severity}')
+      WHERE count >= {threshold}"""
+
+
+_FATAL, _WARN = detect.Rule("FATAL", 3, timedelta(hours=6)), detect.Rule("WARN", 5, timedelta(hours=1))
+_ALERT_COLS = ("event_id", "fired_at", "severity", "count", "threshold", "window_seconds", "alert")
+
+
+@query(_alert_sql("FATAL", 3, 6, 21600.0, "6h0m0s"))
+def alert_threshold(spark, sf):
+    return plain_time(detect.alerts(log_lines(spark, sf), [_FATAL], KEYS).select(*_ALERT_COLS), "fired_at")
+
+
+@query(f"SELECT *, 'pager' AS target FROM ({_alert_sql('FATAL', 3, 6, 21600.0, '6h0m0s')}) UNION ALL SELECT *, 'mail' AS target FROM ({_alert_sql('WARN', 5, 1, 3600.0, '1h0m0s')})")
+def alert_multi(spark, sf):
+    found = detect.multi_alerts(log_lines(spark, sf), {"pager": [_FATAL], "mail": [_WARN]}, KEYS)
+    return plain_time(found.select(*_ALERT_COLS, "target"), "fired_at")
+
+
+_BURST = "count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"
+
+
+@query(f"SELECT event_id, {_BURST} AS in_window, {_BURST} / 3600.0::DOUBLE AS rate FROM l")
+def burst_rate(spark, sf):
+    return detect.burst_rate(log_lines(spark, sf), timedelta(hours=1), KEYS).select("event_id", "in_window", "rate")
+
+
+@query(f"""WITH r AS (SELECT event_id, ts, {_BURST} AS n FROM l), w AS (SELECT *, coalesce(lag(n) OVER ({_O}), 0) AS was FROM r)
+  SELECT event_id, ts FROM w WHERE n >= 24 AND was < 24""")
+def burst_detect(spark, sf):
+    return plain_time(detect.bursts(log_lines(spark, sf), 24 / 3600, timedelta(hours=1), KEYS).select("event_id", "ts"), "ts")
+
+
+# --- text and fields ----------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '(token = ")[0-9a-f]+(")', '\1[REDACTED]\2', 'g') AS text FROM documents""", raw_sql=True)
+def mask_groups(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.mask(F.col("text"), [TOKEN]).alias("text"))
+
+
+_REDACT = r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '{0}', 'g'), 'token = "([0-9a-f]+)"', '{0}', 'g') AS text FROM documents"""
+
+
+@query(_REDACT.format("[REDACTED]"), raw_sql=True)
+def redact_patterns(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.redact(F.col("text"), [EMAIL, TOKEN]).alias("text"))
+
+
+@query(_REDACT.format("***"), raw_sql=True)
+def redact_custom_placeholder(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.redact(F.col("text"), [EMAIL, TOKEN], "***").alias("text"))
+
+
+# DuckDB can't cut text by bytes: the longest run of characters whose UTF-8 length fits is found by counting.
+@query("""SELECT doc_id, CASE WHEN strlen(text) <= 80 THEN text ELSE
+    text[1 : len([n FOR n IN range(1, 78) IF n <= length(text) AND strlen(text[1 : CAST(n AS INT)]) <= 77])] || '...' END AS text FROM documents""", raw_sql=True)
+def truncate_bytes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.truncate(F.col("text"), 80, "...").alias("text"))
+
+
+@query("SELECT event_id, CASE split_part(kv, '=', 1) WHEN 'user' THEN 'user_id' WHEN 'type' THEN 'kind' ELSE split_part(kv, '=', 1) END AS key, "
+       "CASE split_part(kv, '=', 1) WHEN 'type' THEN upper(split_part(kv, '=', 2)) ELSE split_part(kv, '=', 2) END AS value "
+       "FROM (SELECT event_id, unnest(string_split(message, ' ')) AS kv FROM l)")
+def normalize_fields(spark, sf):
+    rules = [maps.Rename("user", "user_id"), maps.Rename("TYPE", "kind", F.upper)]
+    return log_lines(spark, sf).select("event_id", F.explode(maps.normalize(maps.extract_kv(F.col("message")), rules)))
+
+
+@query("SELECT event_id, 'prod' AS env, 'eu' AS region, CAST(user_id AS VARCHAR) AS user FROM l")
+def enrich_static(spark, sf):
+    fields = maps.enrich(maps.extract_kv(F.col("message"), "user"), maps.static({"env": "test", "region": "eu"}), maps.static({"env": "prod"}))
+    return log_lines(spark, sf).select("event_id", *[fields[k].alias(k) for k in ("env", "region", "user")])
+
+
+@query()
+def enrich_host(spark, sf):
+    return log_lines(spark, sf).select("event_id", maps.enrich(F.lit(None).cast("map<string,string>"), maps.host())["host"].alias("host"))
+
+
+@query()
+def enrich_env(spark, sf):
+    name = "HOME" if "HOME" in os.environ else "PATH"
+    return log_lines(spark, sf).select("event_id", maps.enrich(F.lit(None).cast("map<string,string>"), maps.env([name], {name: "home"}))["home"].alias("home"))
+
+
+_COLOUR = "CASE WHEN severity_rank >= 4 THEN '[31m' WHEN severity_rank = 3 THEN '[33m' WHEN severity_rank = 2 THEN '[36m' ELSE '[37m' END"
+
+
+@query(f"SELECT event_id, chr(27) || {_COLOUR} || raw || chr(27) || '[0m' AS line FROM l")
+def highlight_line(spark, sf):
+    return log_lines(spark, sf).select("event_id", text.highlight_line(F.col("raw"), F.col("severity")).alias("line"))
+
+
+@query(f"SELECT event_id, chr(27) || '[1m' || chr(27) || {_COLOUR} || severity || chr(27) || '[0m' AS label FROM l")
+def highlight_severity(spark, sf):
+    return log_lines(spark, sf).select("event_id", text.highlight_severity(F.col("severity")).alias("label"))
+
+
+@query("SELECT event_id, raw AS value FROM l")
+def format_raw(spark, sf):
+    return log_lines(spark, sf).select("event_id", F.col("raw").alias("value"))
+
+
+@query("""SELECT event_id, '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","severity":"' || severity || '","message":"' || message || '"}' AS value FROM l""")
+def format_json(spark, sf):
+    return log_lines(spark, sf).select("event_id", text.to_json(F.col("ts"), F.col("severity"), F.col("message")).alias("value"))
+
+
+# --- aggregation --------------------------------------------------------------------------------------------------
+
+
+def _bucket_sql(width: str) -> str:
+    return f"""SELECT time_bucket(INTERVAL {width}, ts, TIMESTAMP '0001-01-01') AS start, 0::BIGINT AS unknown, count(*) FILTER (severity = 'DEBUG') AS debug,
+      count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (severity = 'WARN') AS warn, count(*) FILTER (severity = 'ERROR') AS error,
+      count(*) FILTER (severity = 'FATAL') AS fatal, count(*) AS total FROM l GROUP BY 1"""
+
+
+@query(_bucket_sql("1 HOUR"))
+def bucket_counts(spark, sf):
+    return plain_time(aggregate.bucket_counts(log_lines(spark, sf), timedelta(hours=1)), "start")
+
+
+@query(_bucket_sql("7 DAY"))
+def bucket_counts_weekly(spark, sf):
+    return plain_time(aggregate.bucket_counts(log_lines(spark, sf), timedelta(days=7)), "start")
+
+
+@query("SELECT count(DISTINCT date_trunc('hour', ts)) AS buckets FROM l")
+def bucket_cardinality(spark, sf):
+    return aggregate.bucket_cardinality(log_lines(spark, sf), timedelta(hours=1))
+
+
+@query("SELECT severity, count(*) AS n FROM l GROUP BY severity")
+def level_counts(spark, sf):
+    return aggregate.level_counts(log_lines(spark, sf))
+
+
+@query("SELECT count(*) AS total FROM l")
+def level_total(spark, sf):
+    return aggregate.level_total(log_lines(spark, sf))
+
+
+@query("SELECT count(*) AS lines_read, count(*) FILTER (severity_rank >= 3) AS lines_matched, CAST(sum(strlen(raw)) AS BIGINT) AS bytes_read FROM l")
+def run_stats(spark, sf):
+    return aggregate.run_stats(log_lines(spark, sf), F.col("severity_rank") >= 3)
+
+
+@query("SELECT DISTINCT event_type AS bucket FROM l WHERE event_type <> ''")
+def split_keys(spark, sf):
+    return aggregate.split_keys(log_lines(spark, sf), F.col("event_type"))
+
+
+@query("SELECT event_id, raw FROM l WHERE event_type = 'purchase'")
+def split_bucket(spark, sf):
+    return aggregate.split_bucket(log_lines(spark, sf), F.col("event_type"), "purchase").select("event_id", "raw")
+
+
+# --- merging and positions ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT source_idx, key, line, ts, row_number() OVER (ORDER BY ts, source_idx, key, line) AS merge_rank FROM (
+    SELECT 0::INT AS source_idx, o_orderkey AS key, 0::INT AS line, o_orderdate AS ts FROM orders UNION ALL
+    SELECT 1::INT, l_orderkey, l_linenumber, l_shipdate FROM lineitem)""", raw_sql=True)
+def merge_sorted(spark, sf):
+    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.lit(0).alias("line"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    rows = combine.merge_rank(combine.merge_sorted([a, None, b], tie=("key", "line")).withColumn("source_idx", F.when(F.col("source_idx") == 2, 1).otherwise(F.col("source_idx"))), ("ts", "source_idx", "key", "line"))
+    return plain_time(rows.select("source_idx", "key", "line", "ts", "merge_rank"), "ts")
+
+
+@query("SELECT event_id, CAST(user_id % 4 AS INT) AS source_idx, row_number() OVER (ORDER BY ts, user_id % 4, event_id) AS merge_rank FROM l")
+def multifile_merge(spark, sf):
+    rows = log_lines(spark, sf).withColumns({"source_idx": (F.col("user_id") % 4).cast("int"), "line_no": F.col("event_id")})
+    merged = combine.multifile(rows)
+    return combine.merge_rank(merged, ("ts", "source_idx", "event_id")).select("event_id", "source_idx", "merge_rank")
+
+
+@query("SELECT event_id, raw FROM l ORDER BY ts DESC, event_id DESC LIMIT 50")
+def tail_n(spark, sf):
+    return positions.tail(log_lines(spark, sf), 50, KEYS).select("event_id", "raw")
+
+
+@query("SELECT event_id, raw FROM l WHERE severity_rank >= 4 ORDER BY ts DESC, event_id DESC LIMIT 50")
+def tail_matching(spark, sf):
+    return positions.tail_matching(filters.min_severity(log_lines(spark, sf), "ERROR"), 50, KEYS).select("event_id", "raw")
+
+
+_OFFSETS = f"o AS (SELECT *, row_number() OVER ({_O}) - 1 AS line_no, CAST(sum(strlen(raw) + 1) OVER ({_O} ROWS UNBOUNDED PRECEDING) AS BIGINT) - strlen(raw) - 1 AS byte_offset FROM l)"
+
+
+def _with_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = log_lines(spark, sf)
+    s = Stream(rows, KEYS).position("_n").running_sum(F.octet_length("raw") + 1, "_end")
+    return s.df.withColumns({"line_no": F.col("_n") - 1, "byte_offset": F.col("_end") - F.octet_length("raw") - 1}).drop("_n", "_end")
+
+
+_MIDDLE = "(SELECT byte_offset FROM o WHERE event_id = (SELECT max(event_id) // 2 FROM l))"
+
+
+@query(f"WITH {_OFFSETS} SELECT event_id, byte_offset FROM o WHERE byte_offset < 500000 ORDER BY byte_offset DESC LIMIT 50")
+def rewind_n(spark, sf):
+    return positions.rewind(_with_offsets(spark, sf), 500_000, 50).select("event_id", "byte_offset")
+
+
+@query(f"WITH {_OFFSETS} SELECT event_id, byte_offset FROM o WHERE byte_offset >= 300000")
+def scan_from_offset(spark, sf):
+    return positions.from_offset(_with_offsets(spark, sf), 300_000).select("event_id", "byte_offset")
+
+
+@query(f"WITH {_OFFSETS} SELECT min(byte_offset) AS byte_offset FROM o WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'")
+def seek_to_time(spark, sf):
+    return positions.seek_to_time(_with_offsets(spark, sf), datetime(2024, 1, 15, 12, tzinfo=timezone.utc))
+
+
+_INDEX = f"""{_OFFSETS}, p AS (SELECT line_no, ts, byte_offset, max(ts) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o WHERE line_no % 500 = 0),
+  i AS (SELECT line_no, ts, byte_offset FROM p WHERE top IS NULL OR ts > top OR line_no = 0)"""
+
+
+@query(f"WITH {_INDEX} SELECT line_no, ts, byte_offset FROM i")
+def time_index_build(spark, sf):
+    return plain_time(positions.build_index(_with_offsets(spark, sf), 500, KEYS).select("line_no", "ts", "byte_offset"), "ts")
+
+
+@query(f"""WITH {_INDEX}, t AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-01-31', INTERVAL 6 HOUR)) AS target)
+  SELECT target, (SELECT max(byte_offset) FROM i WHERE i.ts <= t.target) AS byte_offset FROM t""")
+def time_index_floor(spark, sf):
+    every = F.sequence(F.lit(datetime(2023, 12, 31, tzinfo=timezone.utc)), F.lit(datetime(2024, 1, 31, tzinfo=timezone.utc)), F.expr("interval 6 hours"))
+    targets = spark.range(1).select(F.explode(every).alias("target"))
+    index = positions.build_index(_with_offsets(spark, sf), 500, KEYS)
+    return plain_time(positions.floor_offset(index, targets), "target")
+
+
+# --- the whole pipeline -------------------------------------------------------------------------------------------
+
+_CUT = "CASE WHEN strlen(raw) <= 60 THEN raw ELSE substr(raw, 1, 57) || '...' END"
+
+
+@query(f"""WITH f AS (SELECT * FROM l WHERE {_RANGE} AND severity_rank >= 2),
+  a AS (SELECT *, lag(event_type) OVER ({_O}) AS was FROM f),
+  b AS (SELECT *, sum(CASE WHEN was IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END) OVER ({_O} ROWS UNBOUNDED PRECEDING) AS run FROM a),
+  r AS (SELECT run, arg_min((event_id, ts, raw), (ts, event_id)) AS h, any_value(event_type) AS event_type, count(*) - 1 AS more FROM b GROUP BY run),
+  d AS (SELECT h[1] AS event_id, h[2] AS ts, h[3] AS raw, event_type AS message, 0 AS k FROM r UNION ALL
+        SELECT h[1], h[2], h[3], event_type || ' [repeated ' || more || ' time(s)]', 1 FROM r WHERE more > 0),
+  s AS (SELECT *, row_number() OVER (ORDER BY ts, event_id, message) AS n FROM d),
+  t AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY ts, event_id, message) AS m FROM s WHERE n % 3 = 0)
+  SELECT event_id, ts, message, {_CUT} AS raw FROM t WHERE m <= 1""")
+def pipeline_full(spark, sf):
+    config = Config(since=SINCE, until=UNTIL, min_severity="INFO", dedupe=True, sample_rate=3, rate_limit=1, max_line_len=60)
+    lines = log_lines(spark, sf).withColumn("message", F.col("event_type"))
+    return plain_time(process(lines, config, ("ts", "event_id", "message"), ()).select("event_id", "ts", "message", "raw"), "ts")
 
-def oracle_sql():
-    return {}
