@@ -92,6 +92,6 @@ def test_run_context(spark):
         assert isinstance(c.err(), Cancelled) and c.done().is_set()
     with RunContext(spark, timeout=2) as c:
         with pytest.raises(Exception):
-            spark.range(1 << 40).select(F.sum(F.sqrt("id"))).collect()
+            spark.range(1 << 36).select(F.sum(F.sqrt("id"))).collect()
         time.sleep(0.2)
         assert isinstance(c.err(), TimedOut)

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.parse import parse_lines
-from timberline.operators.aggregate import observe, stats_text
+from timberline.operators.aggregate import run_stats, stats_text
 from timberline.plans.config import from_args
 from timberline.plans.pipeline import process
 from timberline.sources.lines import from_stdin, read_lines
@@ -23,14 +23,16 @@ def run(args: Sequence[str], out=sys.stdout, err=sys.stderr, spark: SparkSession
     spark = spark or SparkSession.builder.appName("timberline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     began = time.monotonic()
     lines = read_lines(spark, files) if files and files != ["-"] else from_stdin(spark, stdin)
-    parsed, seen = observe(parse_lines(lines), F.lit(True))
+    parsed = parse_lines(lines)
     result = process(parsed, config, by=("source_idx",))
     n = 0
     for row in as_text(result.orderBy("source_idx", "line_no"), config.output_format).toLocalIterator():
         out.write(row["value"] + "\n")
         n += 1
     if config.show_stats:
-        err.write(stats_text(seen.get | {"lines_matched": n}, time.monotonic() - began) + "\n")
+        # a local iterator doesn't report observed metrics: the statistics are a query of their own
+        stats = run_stats(parsed, F.lit(True)).first().asDict() | {"lines_matched": n}
+        err.write(stats_text(stats, time.monotonic() - began) + "\n")
     return n
 
 

@@ -30,11 +30,11 @@ class RunContext:
             self._timer.start()
 
     def __enter__(self) -> RunContext:
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.removeTag(self.tag)
+        self.spark.sparkContext.removeJobTag(self.tag)
         if self._timer:
             self._timer.cancel()
 
@@ -42,7 +42,7 @@ class RunContext:
         with self._lock:
             self._error = self._error or error
         self._done.set()
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def cancel(self) -> None:
         self._end(Cancelled("the run was cancelled"))
