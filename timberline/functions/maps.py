@@ -15,12 +15,15 @@ from timberline.functions.regex import to_java
 KV = r'(?<![^\s])([^\s=]+)=("[^"]*"(?![^\s])|[^\s]+)'
 
 
-def last_wins(keys: Column, values: Column) -> Column:
-    """A map of two arrays; of equal keys the last counts."""
-    n = F.size(keys)
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.array_contains(F.slice(keys, i + 1, n), F.element_at(keys, i)))
-    places = F.when(n > 0, places).otherwise(F.array().cast("array<int>"))
-    return F.map_from_arrays(F.transform(places, lambda i: F.element_at(keys, i)), F.transform(places, lambda i: F.element_at(values, i)))
+def fold_map(items: Column, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """A map of an array's items; of equal keys the last counts. A fold names the array once, whatever its expression."""
+    empty = F.create_map().cast("map<string,string>")
+
+    def put(acc: Column, e: Column) -> Column:
+        rest = F.map_filter(acc, lambda k, _: k != key(e))
+        return F.map_concat(rest, F.create_map(key(e), value(e))).cast("map<string,string>")
+
+    return F.reduce(items, empty, put)
 
 
 def overlay(fields: Column, extra: Column) -> Column:
@@ -35,10 +38,8 @@ def extract_kv(message: Column, *names: str) -> Column:
 
     A token counts if its = is neither first nor last. A null message gives an empty map.
     """
-    text = F.coalesce(message, F.lit(""))
-    keys = F.regexp_extract_all(text, F.lit(KV), 1)
-    values = F.transform(F.regexp_extract_all(text, F.lit(KV), 2), lambda v: F.regexp_replace(v, r'^"+|"+$', ""))
-    found = last_wins(keys, values)
+    tokens = F.regexp_extract_all(F.coalesce(message, F.lit("")), F.lit(KV), 0)
+    found = fold_map(tokens, lambda t: F.substring_index(t, "=", 1), lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^=]*=", ""), r'^"+|"+$', ""))
     return F.map_filter(found, lambda k, _: k.isin(*names)) if names else found
 
 
@@ -68,8 +69,7 @@ def normalize(fields: Column, rules: Sequence[Rename]) -> Column:
                 out = F.when(F.lower(e["key"]) == name, rule.transform(e["value"])).otherwise(out)
         return out
 
-    entries = F.map_entries(fields)
-    return F.when(fields.isNotNull(), last_wins(F.transform(entries, key), F.transform(entries, value)))
+    return fold_map(F.map_entries(fields), key, value)
 
 
 def static(values: Mapping[str, str]) -> Callable[[], Column]:

@@ -9,8 +9,10 @@ from timberline.schema import ALIASES, RANK, SEVERITIES
 
 # The line layout and the timestamp layouts.
 LINE = r"^([^\t\n\f\r ]+(?:[\t\n\f\r ][^\t\n\f\r ]+)?)[\t\n\f\r ]+(DEBUG|INFO|WARN|WARNING|ERROR|FATAL)[\t\n\f\r ]+([^\n]*)\z"
-_ISO = r"^(\d{4}-\d{2}-\d{2})T(\d{1,2}):(\d{2}):(\d{2})([.,]\d+)?(Z|[+-]\d{2}:\d{2})?\z"
-_PLAIN = r"^(\d{4})([-/])(\d{2})\2(\d{2}) (\d{1,2}):(\d{2}):(\d{2})([.,]\d+)?\z"
+_ISO = r"\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})?"
+_PLAIN = r"\d{4}([-/])\d{2}\1\d{2} \d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?"
+STAMP = rf"^(?:{_PLAIN}|{_ISO})\z"
+_ZONE = r"(Z|[+-]\d{2}:\d{2})\z"
 
 
 def trim_line(raw: Column) -> Column:
@@ -23,21 +25,14 @@ def parse_timestamp(text: Column) -> Column:
 
     Fractions after a point or comma are cut to microseconds; the hour may have one digit.
     """
-    part = lambda p, i: F.regexp_extract(text, p, i)
-    fraction = lambda x: F.regexp_replace(x, ",", ".")
-    zone = F.when(part(_ISO, 6) == "", "Z").otherwise(part(_ISO, 6))
-    iso = F.concat(part(_ISO, 1), F.lit("T"), F.lpad(part(_ISO, 2), 2, "0"), F.lit(":"), part(_ISO, 3), F.lit(":"), part(_ISO, 4), fraction(part(_ISO, 5)), zone)
-    plain = F.concat(
-        part(_PLAIN, 1), F.lit("-"), part(_PLAIN, 3), F.lit("-"), part(_PLAIN, 4), F.lit("T"), F.lpad(part(_PLAIN, 5), 2, "0"),
-        F.lit(":"), part(_PLAIN, 6), F.lit(":"), part(_PLAIN, 7), fraction(part(_PLAIN, 8)), F.lit("Z"),
-    )
-    return F.when(text.rlike(_ISO), F.try_to_timestamp(iso)).when(text.rlike(_PLAIN), F.try_to_timestamp(plain))
+    zone = F.when(text.rlike(_ZONE), "").otherwise("Z")
+    return F.when(text.rlike(STAMP), F.concat(F.translate(text, "/,", "-."), zone).try_cast("timestamp"))
 
 
 def zone_text(text: Column) -> Column:
     """The zone as written: Z (also when there is none) or an offset."""
-    zone = F.regexp_extract(text, r"(Z|[+-]\d{2}:\d{2})\z", 1)
-    return F.when(text.rlike(_ISO) & (zone != ""), zone).otherwise("Z")
+    zone = F.regexp_extract(text, _ZONE, 1)
+    return F.when(zone != "", zone).otherwise("Z")
 
 
 def severity_rank(name: Column) -> Column:
