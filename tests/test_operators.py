@@ -100,6 +100,12 @@ def test_coalesce(spark, ranges, cap):
     assert got == sorted((r["line_no"], r["message"]) for r in fold_all(folds.coalesce_events(cap), rows, folds.flush_event))
 
 
+def test_retention_fold():
+    rows = [(0, "INFO", "old"), (100, "INFO", "new"), (5, "INFO", "stale behind"), (110, "INFO", "last")]
+    assert [r["count"] for r in fold_all(folds.retention(20_000_000), rows)] == [1, 1, 2, 3]
+    assert [r["count"] for r in fold_all(folds.retention(0), rows)] == [1, 2, 3, 4]
+
+
 def test_sequence_and_replay(spark, ranges):
     rows = random_rows(7, nulls=0.2, ordered=False)
     assert [r["seq"] for r in events.sequence(lines(spark, rows)).orderBy("line_no").collect()] == [str(i + 1) for i in range(300)]

@@ -15,6 +15,7 @@ from timberline.operators import aggregate, combine, detect, events, filters, po
 from timberline.operators.ordered import Stream
 from timberline.plans.config import Config
 from timberline.plans.pipeline import process, slice_lines
+from timberline.sources import lines
 
 KEYS = ("ts", "event_id")
 SINCE, UNTIL = datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc)
@@ -59,8 +60,8 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = log_lines(spark, sf_dir).select("raw")
-    lines = filters.match(parse.parse_lines(raw), SINCE, UNTIL, "WARN")
-    return plain_time(aggregate.bucket_counts(lines, timedelta(hours=1)), "start")
+    severe = filters.match(parse.parse_lines(raw), SINCE, UNTIL, "WARN")
+    return plain_time(aggregate.bucket_counts(severe, timedelta(hours=1)), "start")
 
 
 _QUERIES["flagship"] = flagship
@@ -135,6 +136,11 @@ def coalesce_events(spark, sf):
     return events.coalesce_events(rows, 0, ("turn", "message"), ("conv_id",)).select("conv_id", "message")
 
 
+@query()
+def source_size(spark, sf):
+    return lines.source_sizes(spark, f"{sf}/events.parquet").select("bytes")
+
+
 # --- filters ------------------------------------------------------------------------------------------------------
 
 _COLS = "event_id, ts, severity, message"
@@ -477,6 +483,6 @@ _CUT = "CASE WHEN strlen(raw) <= 60 THEN raw ELSE substr(raw, 1, 57) || '...' EN
   SELECT event_id, ts, message, {_CUT} AS raw FROM t WHERE m <= 1""")
 def pipeline_full(spark, sf):
     config = Config(since=SINCE, until=UNTIL, min_severity="INFO", dedupe=True, sample_rate=3, rate_limit=1, max_line_len=60)
-    lines = log_lines(spark, sf).withColumn("message", F.col("event_type"))
-    return plain_time(process(lines, config, ("ts", "event_id", "message"), ()).select("event_id", "ts", "message", "raw"), "ts")
+    rows = log_lines(spark, sf).withColumn("message", F.col("event_type"))
+    return plain_time(process(rows, config, ("ts", "event_id", "message"), ()).select("event_id", "ts", "message", "raw"), "ts")
 
