@@ -38,13 +38,11 @@ def dedupe_runs(df: DataFrame, keys: Sequence[str] = ORDER, by: Sequence[str] =
 
     Column ``repeats`` is 0 for the first row and c for the copy. Null messages equal each other.
     """
-    s = Stream(df, keys, by).last_before(F.struct(F.col(message)), "_was")
+    s = Stream(df, keys, by).position_and_last(F.struct(F.col(message)), "_n", "_was")
     new = F.col("_was").isNull() | ~F.col("_was")[message].eqNullSafe(F.col(message))
-    s = s._with(s._df.withColumn("_new", new).drop("_was"))
-    s = s.running_sum(F.col("_new").cast("int"), "_run").position("_n")
     # a run's length is the distance to the next run's head: only heads and the last row matter
-    heads = Stream(s.df.filter("_new"), keys, by)
-    order = Window.partitionBy(*by, "_range").orderBy("_run")
+    heads = s._with(s._df.filter(new).drop("_was"))
+    order = Window.partitionBy(*by, "_range").orderBy("_n")
     ends = s.df.groupBy(*by).agg(F.max("_n").alias("_end"))  # one row a stream
     firsts = heads._df.groupBy(*by, "_range").agg(F.min("_n").alias("_f"))
     later = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
@@ -53,7 +51,7 @@ def dedupe_runs(df: DataFrame, keys: Sequence[str] = ORDER, by: Sequence[str] =
     rows = _with_stream_row(rows, ends, by)
     rows = rows.withColumn("_c", F.coalesce(F.col("_next"), F.col("_end") + 1) - F.col("_n") - 1)
     kinds = F.when(F.col("_c") > 0, F.array(F.lit(0).cast("long"), F.col("_c"))).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.drop("_new", "_run", "_n", "_next", "_next_range", "_end", "_range").withColumn(repeats, F.explode(kinds)).drop("_c")
+    rows = rows.drop("_n", "_next", "_next_range", "_end", "_range").withColumn(repeats, F.explode(kinds)).drop("_c")
     text = F.concat(F.coalesce(message, F.lit("")), F.lit(" [repeated "), F.col(repeats).cast("string"), F.lit(" time(s)]"))
     return rows.withColumn(message, F.when(F.col(repeats) > 0, text).otherwise(F.col(message)))
 

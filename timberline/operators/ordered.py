@@ -96,6 +96,16 @@ class Stream:
         here = F.last(F.when(F.col("_v").isNotNull(), boxed) if ignore_nulls else boxed, ignorenulls=True).over(self._inside().rowsBetween(_SMALL, -1))
         return self._with(self._join(carried).withColumn(out, F.coalesce(here, F.col("_tail"))["v"]).drop("_tail", "_v"))
 
+    def position_and_last(self, value: Column, position: str, last: str) -> Stream:
+        """position() and last_before(value) in one pass."""
+        self = self._with(self._df.withColumn("_v", F.struct(value.alias("v"))))
+        both = F.struct(F.count(F.lit(1)).alias("n"), F.max_by("_v", F.struct(*self.keys)).alias("tail"))
+        before = self._carry(both, lambda c, w: F.struct(F.coalesce(F.sum(c["n"]).over(w), F.lit(0)).alias("n"), F.last(c["tail"]).over(w).alias("tail")), "_before")
+        inside = self._inside()
+        df = self._join(before).withColumn(position, F.col("_before.n") + F.row_number().over(inside))
+        df = df.withColumn(last, F.coalesce(F.lag("_v").over(inside), F.col("_before.tail"))["v"])
+        return self._with(df.drop("_before", "_v"))
+
     def max_before(self, value: Column, out: str) -> Stream:
         """The greatest value of all rows before."""
         self = self._with(self._df.withColumn("_v", value))
