@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import language_id, line_dedup, minhash_dedup, mixing, packing
 from timberline.llm._shared import shared_dir
-from timberline.llm.registry import TOKENIZER, held_out
+from timberline.llm.defaults import TOKENIZER, held_out
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; so do documents that had nothing else. n_chars follows the text."""
-    cleaned = line_dedup.remove(docs, line_dedup.boilerplate(docs), removed_col="_removed").filter((F.col("_removed") == 0) | (F.trim("text") != ""))
-    return cleaned.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).drop("_removed")
+    cleaned = line_dedup.remove(docs, line_dedup.boilerplate(docs), removed_col="__tl_removed").filter((F.col("__tl_removed") == 0) | (F.trim("text") != ""))
+    return cleaned.withColumn("n_chars", F.when(F.col("__tl_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).drop("__tl_removed")
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

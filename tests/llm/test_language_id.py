@@ -3,7 +3,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from timberline.llm import language_id as L
-from timberline.llm.registry import held_out
+from timberline.llm.defaults import held_out
 
 TEXTS = {"en": "the cat and the dog with that thing is there", "fr": "le chat est dans la maison avec une rose où vous êtes"}
 

@@ -6,7 +6,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from timberline.llm import packing as P
-from timberline.llm.registry import TOKENIZER
+from timberline.llm.defaults import TOKENIZER
 
 
 def test_ids_are_those_of_the_tokenizers_library(spark, sf):

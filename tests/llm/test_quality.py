@@ -3,7 +3,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from timberline.llm import quality as Q
-from timberline.llm.registry import held_out
+from timberline.llm.defaults import held_out
 
 
 def test_features_by_hand():
@@ -28,7 +28,8 @@ def test_additive_model_learns_an_interaction():
     x[:, :2] = rng.random((3000, 2))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     m = Q.fit_table(x[:2000], y[:2000])
-    assert ((m.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+    # a bin of either feature that straddles the cut costs a thirty-second of the rows
+    assert ((m.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
     z = m.base + sum(t[m.bins(x)[:, f]] for f, t in enumerate(m.tables)) + sum(t[m.bins(x)[:, i], m.bins(x)[:, j]] for i, j, t in m.pairs)
     assert np.allclose(1 / (1 + np.exp(-z)), m.score(x))
 

@@ -58,7 +58,7 @@ def test_mined_rules_are_those_of_brute_force(spark):
 
 def test_judge_uses_mined_rules(spark):
     labelled = spark.createDataFrame([(u, "spam" in u) for u in URLS], "url string, bad boolean")
-    rules = U.mine(labelled, min_support=0.1)
+    rules = U.mine(labelled, min_support=0.1, min_confidence=0.9)  # half of the .com pages are bad
     pages = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, "http://spam.example.org/fr/new", None])], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in U.judge(pages, rules).collect()}
     for i, u in enumerate(URLS):

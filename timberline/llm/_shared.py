@@ -31,29 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of what is cut off, and the driver's plans of it, go when the driver's JVM collects its garbage:
+    that is asked for here, since a driver with a large heap may not do it for long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded in bytes, not only in rows, so that long texts don't fill a Python worker."""
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     except Exception:  # a release without this setting: bound the rows instead
         pass
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of left with right, where right has one row a key and ``count`` is that key's number of left rows.
 
     A key with more than total / HOT_SHARE rows is joined by broadcast: there are fewer than HOT_SHARE such rows.
-    All others are joined by shuffle. ``count`` is dropped.
+    All others are joined by shuffle. ``count`` is dropped. Whether there is a hot key is looked up first, in
+    ``counts`` (right, if not given), which should be a written table.
     """
     is_hot = F.col(count) > F.lit(max(1, total) / HOT_SHARE)
+    if (right if counts is None else counts).filter(is_hot).isEmpty():
+        return left.join(right.drop(count), keys)
     hot, cold = F.broadcast(right.filter(is_hot).drop(count)), right.filter(~is_hot).drop(count)
     rest = left.join(F.broadcast(right.filter(is_hot).select(*keys)), keys, "left_anti")
     return left.join(hot, keys).unionByName(rest.join(cold, keys))

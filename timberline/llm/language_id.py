@@ -63,12 +63,8 @@ def _subwords(buf: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
 def _folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts folded in one buffer, each between blanks; text i begins at the blank at offset i."""
-    buf, at = text_buffer(pc.utf8_lower(pc.fill_null(column, "")))
-    texts = len(at) - 1
-    out = np.full(len(buf) + texts + 1, 32, np.uint8)
-    shift = np.repeat(np.arange(1, texts + 1), np.diff(at))
-    out[np.arange(len(buf)) + shift] = _FOLD[buf]
-    return out, at + np.arange(texts + 1)
+    buf, at = text_buffer(pc.binary_join_element_wise("", pc.utf8_lower(pc.fill_null(column, "")), " "))
+    return np.append(_FOLD[buf], np.uint8(32)), at
 
 
 def _counts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -162,7 +158,7 @@ def _sgd(rows, labels, k: int, dim: int, epochs: int, rate: float, seed: int) ->
 
 def fit(
     docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train: Column | None = None,
-    sample_rows: int = 3000, dim: int = 16, epochs: int = 8, rate: float = 40.0, false_reject: float = 0.001, seed: int = 7,
+    sample_rows: int = 2000, dim: int = 16, epochs: int = 8, rate: float = 40.0, false_reject: float = 0.001, seed: int = 7,
 ) -> LanguageModel:
     """Fits on at most sample_rows labelled texts, about as many of each language, chosen by a hash of the id.
 
@@ -183,14 +179,15 @@ def fit(
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.lit(1 << 20)).cast("double") / F.lit(1 << 20)
     chosen = rows.withColumn("h", place).filter(F.col("h") < F.element_at(share, F.col("l"))).select("l", "h", "t")
     chosen = chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count_batches, "l string, h double, ids binary, n binary")
-    kept = chosen.orderBy("h").limit(2 * sample_rows).collect()
+    kept = chosen.orderBy("h").limit(2 * sample_rows).toArrow()  # a few large buffers, not many objects
     by: dict[str, int] = {}
     data, labels = [], []
-    for r in kept:
-        if by.get(r["l"], 0) < each and len(r["ids"]):
-            by[r["l"]] = by.get(r["l"], 0) + 1
-            data.append((np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32).astype(np.float64)))
-            labels.append(names.index(r["l"]))
+    for i, l in enumerate(kept["l"].to_pylist()):
+        ids, n = (np.frombuffer(kept[c][i].as_buffer(), np.int32) for c in ("ids", "n"))
+        if by.get(l, 0) < each and len(ids):
+            by[l] = by.get(l, 0) + 1
+            data.append((ids, n))
+            labels.append(names.index(l))
     labels = np.array(labels, np.int64)
     if not len(data):
         return LanguageModel((), np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)

@@ -9,6 +9,7 @@ id that has it, and goes from all others.
 Defined results: a null text stays null; a null site counts as one site; shorter lines are never touched, nor empty
 ones; a line repeated in one document is one line of one site; rows with a null id count for the spread and keep their
 text, unless all rows of a line have null ids; repeated rows lose or keep their lines together; an empty table stays empty.
+Column names that begin with __tl_ are kept for this operator.
 """
 
 from __future__ import annotations
@@ -50,20 +51,20 @@ def remove(docs: DataFrame, lines: DataFrame, min_chars: int = 20, id_col: str =
 
     An input column named like removed_col is replaced.
     """
-    line = F.col("_line")
-    cut = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line"))
-    cut = cut.filter(F.length(F.btrim(line, F.lit(" \t\r"))) >= min_chars).select("_id", "_text", "_pos", _key(line).alias("h"))
+    line = F.col("__tl_line")
+    cut = docs.select(F.col(id_col).alias("__tl_id"), F.xxhash64(text_col).alias("__tl_text"), F.posexplode(F.split(text_col, "\n")).alias("__tl_pos", "__tl_line"))
+    cut = cut.filter(F.length(F.btrim(line, F.lit(" \t\r"))) >= min_chars).select("__tl_id", "__tl_text", "__tl_pos", _key(line).alias("h"))
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hits = join_unique(cut, lines, ["h"], "n", max(1, total)).filter(F.col("_id") != F.col("first"))
-    hits = spill(hits.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_out")), "hits")
-    size = hits.agg(F.coalesce(F.sum(F.size("_out")), F.lit(0))).first()[0]
+    hits = join_unique(cut, lines, ["h"], "n", max(1, total)).filter(F.col("__tl_id") != F.col("first"))
+    hits = spill(hits.groupBy("__tl_id", "__tl_text").agg(F.collect_set("__tl_pos").alias("__tl_out")), "hits")
+    size = hits.agg(F.coalesce(F.sum(F.size("__tl_out")), F.lit(0))).first()[0]
     few = size <= SEND_POSITIONS  # 4 bytes a position, and a row is at least one
-    on = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_text"))
+    on = (F.col(id_col) == F.col("__tl_id")) & (F.xxhash64(text_col) == F.col("__tl_text"))
     both = docs.join(F.broadcast(hits) if few else hits, on, "left")
     parts = F.split(text_col, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_out")
-    text = F.when(F.col("_out").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_parts"), i)), "\n"))
-    both = both.withColumn("_parts", F.when(F.col("_out").isNotNull(), parts))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__tl_out")
+    text = F.when(F.col("__tl_out").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__tl_parts"), i)), "\n"))
+    both = both.withColumn("__tl_parts", F.when(F.col("__tl_out").isNotNull(), parts))
     if removed_col:
-        both = both.withColumn(removed_col, F.when(F.col("_out").isNull(), 0).otherwise(F.size("_out")).cast("long"))
-    return both.withColumn(text_col, text).drop("_id", "_text", "_out", "_parts")
+        both = both.withColumn(removed_col, F.when(F.col("__tl_out").isNull(), 0).otherwise(F.size("__tl_out")).cast("long"))
+    return both.withColumn(text_col, text).drop("__tl_id", "__tl_text", "__tl_out", "__tl_parts")

@@ -232,8 +232,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
     used = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     left = pairs.join(used.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     per = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    per = spill(per, "paired")
     right = used.select(F.col("id").alias("b"), F.col("t").alias("tb")).join(per, "b")
-    both = join_unique(left, right, ["b"], "n", pairs.count()).select("a", "b", "ta", "tb")
+    both = join_unique(left, right, ["b"], "n", pairs.count(), per)
+    both = both.select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -253,23 +255,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps; every step is joins and partial aggregation on keys, hot keys apart.
     """
     e = spill(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "graph")
-    before = None
     for _ in range(most_rounds):
+        # done when all edges lead to nodes that lead nowhere: then every component is a star
+        if e.select("u").distinct().join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = spill(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        total = 2 * e.count()
-        # a node that is its own least keeps its larger neighbours; no join is needed for what would not change
+        total = least.agg(F.sum("n")).first()[0]
         large = join_unique(both.filter("v > u"), least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = spill(large.filter("u <> v").distinct(), "graph")
         down = spill(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         kept = down.select("u", F.col("m").alias("v"))
-        moved = join_unique(large, down.filter("n > 1"), ["u"], "n", max(1, large.count()))
+        total = down.agg(F.sum("n")).first()[0]
+        moved = join_unique(large, down.filter("n > 1"), ["u"], "n", total)
         moved = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = spill(kept.union(moved).distinct(), "graph")
-        state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("label"))
@@ -398,10 +398,10 @@ def classes(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows whose id is its class's least; of rows that repeat an id one stays; rows with a null id stay."""
     found = spill(classes(docs, id_col, text_col, **options), "classes")
-    keep = found.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_keep"))
+    keep = found.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__tl_keep"))
     few = keep.count() <= SEND_ROWS
     key = F.col(id_col).cast("long")
-    kept = docs.join(F.broadcast(keep) if few else keep, key == F.col("_keep"), "left_semi")
+    kept = docs.join(F.broadcast(keep) if few else keep, docs[id_col].cast("long") == keep["__tl_keep"], "left_semi")
     if docs.filter(key.isNotNull()).count() != found.count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.filter(key.isNull()))

@@ -10,7 +10,7 @@ Running sums inside a source are hierarchical: 256 hash prefixes a level, so tha
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are never
 taken; rows that repeat an id follow each other; a row with a null id stands where the text "null" does; an empty table
-gives no rows.
+gives no rows. Column names that begin with __tl_ are kept for this operator.
 """
 
 from __future__ import annotations
@@ -95,11 +95,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     All columns of docs, none added. Rows that repeat an id and a text are taken alike.
     """
     plan = schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("copies > 0")
-    plan = plan.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max(F.struct("copies", "finish", F.col("source_size").alias("whole"), "weight")).alias("_mix"))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))
+    plan = plan.groupBy(F.col("id").alias("__tl_id"), F.col("text_key").alias("__tl_key")).agg(F.max(F.struct("copies", "finish", F.col("source_size").alias("whole"), "weight")).alias("__tl_mix"))
+    on = F.col(id_col).eqNullSafe(F.col("__tl_id")) & (F.xxhash64(text_col) == F.col("__tl_key"))
     both = docs.join(plan, on)
-    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_mix.copies") - 1)))
-    finish = F.col("_mix.finish") + F.col("_copy") * F.col("_mix.whole") / F.col("_mix.weight")
-    both = both.withColumn("_finish", finish).drop("_id", "_key", "_mix", "_copy")
-    spread = both.repartitionByRange("_finish", id_col).sortWithinPartitions("_finish", id_col)
-    return spread.drop("_finish")
+    both = both.withColumn("__tl_copy", F.explode(F.sequence(F.lit(0), F.col("__tl_mix.copies") - 1)))
+    finish = F.col("__tl_mix.finish") + F.col("__tl_copy") * F.col("__tl_mix.whole") / F.col("__tl_mix.weight")
+    both = both.withColumn("__tl_finish", finish).drop("__tl_id", "__tl_key", "__tl_mix", "__tl_copy")
+    spread = both.repartitionByRange("__tl_finish", id_col).sortWithinPartitions("__tl_finish", id_col)
+    return spread.drop("__tl_finish")

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import fingerprints, language_id, line_dedup, minhash_dedup, mixing, packing, quality, topk, url_filter, warc
-
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
-
-def held_out(id_col: str = "doc_id") -> Column:
-    """Every fifth document by the CRC-32 of its id; models never learn from these."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
-
+from timberline.llm.defaults import TOKENIZER, held_out
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -110,8 +110,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 def summary(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, its payload verified."""
     headers, stored = read_headers(spark, path), read_payload_digests(spark, path)
-    per = headers.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
-    both = join_unique(headers.select("page_id", "sha256", "record_type", "refers_to"), stored.join(per, "sha256"), ["sha256"], "n", headers.count())
+    per = spill(headers.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")), "records")
+    both = join_unique(headers.select("page_id", "sha256", "record_type", "refers_to"), stored.join(per, "sha256"), ["sha256"], "n", headers.count(), per)
     return both.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
