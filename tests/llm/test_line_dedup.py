@@ -50,3 +50,12 @@ def test_real_documents(spark, sf):
 
 def test_empty(spark):
     assert _run(spark, []) == []
+
+
+def test_short_lines_need_more_sites(spark):
+    """A short line on ten sites goes from all documents but the first; one on nine stays."""
+    rows = [(i, f"own text of document number {i}\nread on \n\nnext", f"s{i}") for i in range(9)] + [(9, "read on", "s9"), (10, "\tread on\nnext", "s1")]
+    got = dict(_run(spark, rows))
+    assert got[0] == rows[0][1] and got[9] == "" and got[10] == "next"
+    assert all(got[i] == f"own text of document number {i}\n\nnext" for i in range(1, 9))
+    assert dict(_run(spark, rows, short_sites=5))[1] == "own text of document number 1\n"
