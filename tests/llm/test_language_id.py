@@ -51,3 +51,11 @@ def test_edges(spark):
     empty = docs.limit(0)
     assert L.identify(empty, model).count() == 0
     assert [r["language"]["lang"] for r in L.identify(docs, L.fit(empty)).collect()] == ["und"] * 6
+
+
+def test_learns_from_the_stated_number_of_texts(spark, monkeypatch):
+    """README: at most 3,000 labelled texts; a fifth of them is kept out of the training."""
+    learned = []
+    monkeypatch.setattr(L, "_sgd", lambda rows, labels, k, *_: (learned.append(len(rows)), (np.zeros((L.BUCKETS, k)), np.zeros(k)))[1])
+    L.fit(_docs(spark, 4000))
+    assert learned == [2400]

@@ -158,7 +158,7 @@ def _sgd(rows, labels, k: int, dim: int, epochs: int, rate: float, seed: int) ->
 
 def fit(
     docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train: Column | None = None,
-    sample_rows: int = 2000, dim: int = 16, epochs: int = 8, rate: float = 40.0, false_reject: float = 0.001, seed: int = 7,
+    sample_rows: int = 3000, dim: int = 16, epochs: int = 8, rate: float = 40.0, false_reject: float = 0.001, seed: int = 7,
 ) -> LanguageModel:
     """Fits on at most sample_rows labelled texts, about as many of each language, chosen by a hash of the id.
 
@@ -183,7 +183,7 @@ def fit(
     by: dict[str, int] = {}
     data, labels = [], []
     for i, l in enumerate(kept["l"].to_pylist()):
-        ids, n = (np.frombuffer(kept[c][i].as_buffer(), np.int32) for c in ("ids", "n"))
+        ids, n = (np.frombuffer(kept[c][i].as_buffer(), kind) for c, kind in (("ids", np.uint16), ("n", np.int32)))
         if by.get(l, 0) < each and len(ids):
             by[l] = by.get(l, 0) + 1
             data.append((ids, n))
@@ -219,7 +219,7 @@ def _count_batches(batches):
     for batch in batches:
         found = _counts(batch.column("t"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("l"), batch.column("h"), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())],
+            [batch.column("l"), batch.column("h"), pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())],
             ["l", "h", "ids", "n"],
         )
 
