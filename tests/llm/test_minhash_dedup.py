@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 from collections import Counter
@@ -153,3 +154,11 @@ def test_keep_one(spark):
     assert M.keep_one(docs).columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in M.keep_one(docs).collect()) == ["2", "None"]
     assert M.keep_one(docs.limit(0)).count() == 0
+
+
+def test_sample_floor_loses_fewer_pairs_than_the_bands():
+    default = {k: v.default for k, v in inspect.signature(M.classes).parameters.items()}
+    n, p = default["bands"] * default["rows"], default["threshold"]
+    least = math.ceil(default["sample_floor"] * n)
+    missed = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
+    assert missed < 1e-6 < (1 - p ** default["rows"]) ** default["bands"]

@@ -15,7 +15,7 @@ Steps:
 3. Connected components are found by alternating large-star and small-star steps.
 4. A bucket whose texts are still in several components is taken up again: its texts outside the largest component are
    compared with all its texts, in blocks of bounded size. Pairs of different components whose share of equal samples is
-   at least ``sample_floor`` (3.3 standard deviations below the threshold), and that share no earlier band, are verified
+   at least ``sample_floor`` (5.5 standard deviations below the threshold), and that share no earlier band, are verified
    as in step 2, likeliest first, until a text is linked to a component or all its pairs with it are done. Then components
    are found anew. So a link within a bucket is either verified, or lies within a component, or its samples rule it out;
    no bucket is capped, and no pair leaves a block but a verified link.
@@ -334,7 +334,7 @@ def _link_blocks(samples: int, rows: int, floor: float, threshold: float, weight
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5,
-    common_share: float = 0.1, common_docs: int = 100, least_idf: float = 0.8, sample_floor: float = 0.68,
+    common_share: float = 0.1, common_docs: int = 100, least_idf: float = 0.8, sample_floor: float = 0.6,
 ) -> DataFrame:
     """The id column and class_id (the least id of the class), one row a distinct id. Ids are 64-bit integers."""
     spark = docs.sparkSession
