@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -15,56 +18,108 @@ _own_dir: dict[str, str] = {}
 
 # A key that holds more than 1/HOT_SHARE of the rows is hot; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 200
+# A hot key's rows are dealt out to so many tasks at most.
+MOST_SALTS = 1024
 # Text bytes that one numpy step works on.
 CHUNK_BYTES = 1 << 20
+# An Arrow batch holds at most so many bytes and rows.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode a temporary one will do."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="timberline-")
+        atexit.register(shutil.rmtree, _own_dir[app], ignore_errors=True)
     return _own_dir[app]
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
+@contextlib.contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    """A session setting for a while; one that this release doesn't know is left alone."""
+    was = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, value)
+    except Exception:
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
 
-    The shuffle files of what is cut off, and the driver's plans of it, go when the driver's JVM collects its garbage:
-    that is asked for here, since a driver with a large heap may not do it for long.
-    """
+
+def write(df: DataFrame, path: str) -> None:
+    """df as Parquet at path. What was shuffled for it is deleted when it stands: nothing reads that again."""
+    with _set(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+
+
+def spill(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    write(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spilled = path
+    return out
+
+
+def drop(*spilled: DataFrame) -> None:
+    """Deletes what spill() wrote, once nothing will read it any more."""
+    for df in spilled:
+        delete(df.sparkSession, df._spilled)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file system for that path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded in bytes, not only in rows, so that long texts don't fill a Python worker."""
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    except Exception:  # a release without this setting: bound the rows instead
-        pass
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Arrow batches of this session are bounded in bytes and rows from now on, so that long texts don't fill a worker.
+
+    The setting has to be there when a returned frame runs, so it stays; a smaller bound that is set already is kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        try:
+            now = int(spark.conf.get(key, str(most)))
+        except ValueError:  # with a unit: the release's own bound
+            now = 0
+        if now <= 0 or now > most:
+            with contextlib.suppress(Exception):  # a release without the setting
+                spark.conf.set(key, str(most))
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of left with right, where right has one row a key and ``count`` is that key's number of left rows.
 
-    A key with more than total / HOT_SHARE rows is joined by broadcast: there are fewer than HOT_SHARE such rows.
-    All others are joined by shuffle. ``count`` is dropped. Whether there is a hot key is looked up first, in
-    ``counts`` (right, if not given), which should be a written table.
+    A key with more than total / HOT_SHARE rows is hot; there are fewer than HOT_SHARE such keys. Its left rows are dealt
+    out by a hash of the whole row, and its right row is repeated for each of these parts: as many parts as the key has
+    times total / HOT_SHARE rows, at least 2. Both sides are shuffled; only the hot keys themselves are broadcast, never
+    the other columns. ``count`` is dropped. Whether there is a hot key is looked up first, in ``counts`` (right, if not
+    given), which should be a written table.
     """
-    is_hot = F.col(count) > F.lit(max(1, total) / HOT_SHARE)
-    if (right if counts is None else counts).filter(is_hot).isEmpty():
+    limit = max(1, total) / HOT_SHARE
+    known = right if counts is None else counts
+    is_hot = F.col(count) > F.lit(limit)
+    if known.filter(is_hot).isEmpty():
         return left.join(right.drop(count), keys)
-    hot, cold = F.broadcast(right.filter(is_hot).drop(count)), right.filter(~is_hot).drop(count)
-    rest = left.join(F.broadcast(right.filter(is_hot).select(*keys)), keys, "left_anti")
-    return left.join(hot, keys).unionByName(rest.join(cold, keys))
+    parts = F.least(F.lit(MOST_SALTS), F.greatest(F.lit(2), F.ceil(F.col(count) / F.lit(limit)))).cast("int")
+    hot = F.broadcast(known.filter(is_hot).select(*keys, parts.alias("__tl_parts")))  # fewer than HOT_SHARE rows of keys
+    plain = [c for c, t in left.dtypes if not t.startswith("map")]
+    dealt = left.join(hot, keys, "left").withColumn("__tl_salt", F.when(F.col("__tl_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*plain), F.col("__tl_parts"))).cast("int")).drop("__tl_parts")
+    repeats = F.when(is_hot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    each = right.withColumn("__tl_salt", F.explode(repeats)).drop(count)
+    return dealt.join(each, [*keys, "__tl_salt"]).drop("__tl_salt")
 
 
 # --- text kernels -------------------------------------------------------------------------------------------------
