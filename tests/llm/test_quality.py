@@ -22,6 +22,45 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
     assert np.allclose(together, np.vstack([Q.features(pa.array([t], pa.string())) for t in texts]))
 
 
+def test_pairs_end_with_their_text():
+    """A text's features are the same alone, and beside texts that go on with other or the same words."""
+    texts = ["a b a", "b c", "a b a", "z", "", "a b", "a b", None, "a b a\n"]
+    alone = {t: Q.features(pa.array([t], pa.string()))[0] for t in texts}
+    for order in (texts, texts[::-1], sorted(t or "" for t in texts)):
+        assert np.array_equal(Q.features(pa.array(order, pa.string())), np.array([alone.get(t, alone[None]) for t in order]))
+
+
+def _by_definition(text):
+    """The features of a text, word by word and byte by byte."""
+    b = (text or "").encode()
+    lines = [x for x in b.split(b"\n")]
+    lines = lines[:-1] if lines[-1] == b"" else lines
+    words = b.split()
+    pairs = list(zip(words, words[1:])) + [(w,) for w in words[-1:]]
+    full, per, rows = max(len(b), 1), max(len(words), 1), max(len(lines), 1)
+    share = lambda test: sum(map(test, b)) / full
+    kind = [
+        lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, lambda c: chr(c) in "#$%&*+<=>@\\^_`{}~[]/", lambda c: chr(c) in ".,;:'\"()-?",
+        lambda c: c == 33, lambda c: c == 124, lambda c: c >= 128, lambda c: c in b" \t\n\r\x0b\x0c",
+    ]
+    return [
+        np.log1p(len(b)), np.log1p(len(words)), np.log1p(len(lines)), len(b) / per, len(words) / rows, *[share(k) for k in kind],
+        len(set(words)) / per, len(set(pairs)) / per, len({tuple(x.split()) for x in lines}) / rows, max((words.count(w) for w in set(words)), default=0) / per,
+    ]
+
+
+def test_score_by_definition(spark, sf):
+    """Every document's score, from features taken by definition and one look-up a table, is the operator's."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.fit(docs, labels, train=~held_out())
+    got = {(r["doc_id"], r["text"]): r["score"] for r in Q.score(docs, model, out="score").collect()}
+    for (_, text), score in got.items():
+        x = _by_definition(text)
+        at = [sum(v >= c for c in cuts) for v, cuts in zip(x, model.cuts)]
+        z = model.base + sum(t[i] for t, i in zip(model.tables, at)) + sum(t[at[i], at[j]] for i, j, t in model.pairs)
+        assert np.isclose(1 / (1 + np.exp(-z)), score)
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = np.zeros((3000, len(Q.FEATURES)))

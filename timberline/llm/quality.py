@@ -85,6 +85,8 @@ def features(column: pa.Array) -> np.ndarray:
         line_keys = (rolled[w_at[1:]] - rolled[w_at[:-1]]) * np.uint64(0x9E3779B97F4A7C15)
         pairs = words.copy()
         pairs[:-1] += words[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        ends = woff[1:][n > 0] - 1  # a text's last word has no next one, whatever text follows
+        pairs[ends] = words[ends]
         kinds_w, most_w = _distinct(words, woff)
         kinds_p, _ = _distinct(pairs * np.uint64(0x9E3779B97F4A7C15), woff)
         kinds_l, _ = _distinct(line_keys, np.searchsorted(begins, at))
@@ -219,7 +221,8 @@ def fit(
     chosen = marked.withColumn("h", place).orderBy("h", id_col).limit(sample_rows)
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("t")).join(F.broadcast(chosen), id_col)  # sample_rows small rows
-    found = texts.select("y", "h", "t").mapInArrow(_feature_batches, "y int, h long, x binary").orderBy("h").limit(sample_rows).collect()
+    # equal features are equal rows to the fit: with them, an id's several texts have one order
+    found = texts.select("y", "h", "t").mapInArrow(_feature_batches, "y int, h long, x binary").orderBy("h", "x").limit(sample_rows).collect()
     x = np.array([np.frombuffer(r["x"]) for r in found]).reshape(len(found), len(FEATURES))
     return fit_table(x, np.array([float(r["y"] > 0) for r in found]))
 
