@@ -59,3 +59,68 @@ def test_learns_from_the_stated_number_of_texts(spark, monkeypatch):
     monkeypatch.setattr(L, "_sgd", lambda rows, labels, k, *_: (learned.append(len(rows)), (np.zeros((L.BUCKETS, k)), np.zeros(k)))[1])
     L.fit(_docs(spark, 4000))
     assert learned == [2400]
+
+
+def test_sample_is_bounded_in_bytes_and_reruns_agree(spark, monkeypatch):
+    docs = _docs(spark, 400)
+    seen = []
+    real = L._settled
+    monkeypatch.setattr(L, "_settled", lambda rows, labels, *a: (seen.append((sum(i.nbytes + n.nbytes for i, n in rows), set(labels.tolist()))), real(rows, labels, *a))[1])
+    a, b = L.fit(docs, sample_bytes=20000), L.fit(docs.repartition(7), sample_bytes=20000)
+    assert all(0 < size <= 20000 and kinds == {0, 1} for size, kinds in seen)
+    assert np.array_equal(a.table, b.table) and (a.temperature, a.threshold) == (b.temperature, b.threshold)
+    L.fit(docs, sample_bytes=1)  # one text a language
+    assert seen[-1][1] == {0, 1}
+
+
+def test_many_languages_that_texts_cannot_tell_apart(spark):
+    """200 labels on the same words: finite, every one learned, scores from 0 to 1."""
+    rng = np.random.default_rng(3)
+    words = TEXTS["en"].split()
+    rows = [(i, " ".join(rng.choice(words, 12)), f"l{i % 200:03d}") for i in range(2000)] + [(5000 + i, "le chat est dans la maison", "fr") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert len(model.languages) == 201 and np.isfinite(model.table).all() and np.isfinite(model.bias).all()
+    got = L.identify(docs, model).collect()
+    assert all(0 <= r["language"]["score"] <= 1 for r in got)
+
+
+def test_every_language_has_rows(spark, monkeypatch):
+    """Ten rare languages beside 110 frequent ones."""
+    rows = [(i, f"word{i % 110} and more{i}", f"big{i % 110:03d}") for i in range(110 * 60)] + [(100000 + i, f"rare{i % 10} text", f"rare{i % 10}") for i in range(50)]
+    seen = []
+    real = L._settled
+    monkeypatch.setattr(L, "_settled", lambda data, labels, k, *a: (seen.append(np.bincount(labels, minlength=k)), real(data, labels, k, *a))[1])
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), epochs=1)
+    assert len(model.languages) == 120 and seen[0].min() >= 1
+
+
+def _by_definition(text, model):
+    """Subword by subword, in plain Python: the language, its probability, whether it is rejected."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    fold = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in f"{text.lower()}".encode())
+    found = []
+    padded = b" " + fold + b" "
+    for n in L.SIZES:
+        for i in range(len(padded) - n + 1):
+            gram = padded[i : i + n]
+            if 32 in gram[1:-1] or gram[0] == gram[-1] == 32:
+                continue
+            h = n * 0x1656_67B1 & 0xFFFF_FFFF
+            for j, c in enumerate(gram):
+                h = (h ^ c) * int(L._LANE[j]) & 0xFFFF_FFFF
+                h ^= h >> 15
+            found.append(h % L.BUCKETS)
+    z = (sum(model.table[b].astype(float) for b in found) / max(1, len(found)) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.languages[int(p.argmax())], p.max(), p.max() < model.threshold
+
+
+def test_predictions_by_definition(spark):
+    model = L.fit(_docs(spark))
+    texts = ["the cat", "Le Chat ÉTAIT là", "x", "a b c", "", None, "123", "the dog\n\tand 4 dogs", "où êtes-vous?"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in L.identify(docs, model).collect():
+        lang, score, rejected = _by_definition(r["text"], model)
+        assert (r["language"]["lang"], r["language"]["rejected"]) == (lang, rejected) and np.isclose(r["language"]["score"], score, atol=1e-4)

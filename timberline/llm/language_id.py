@@ -9,7 +9,8 @@ from the same texts says when a prediction is rejected.
 For scoring, the embedding and softmax matrices are multiplied once, so that a text costs one table lookup a subword.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; white space and
-punctuation never count; repeated rows get equal results; an empty training table gives ``und`` for every text, score 0.
+punctuation never count; repeated rows get equal results; an empty training table gives ``und`` for every text, score 0;
+every language with a labelled text that has a letter is learned from, whether the texts can tell it apart or not.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.llm._shared import bound_batches, text_buffer
@@ -158,42 +159,45 @@ def _sgd(rows, labels, k: int, dim: int, epochs: int, rate: float, seed: int) ->
 
 def fit(
     docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train: Column | None = None,
-    sample_rows: int = 3000, dim: int = 16, epochs: int = 8, rate: float = 40.0, false_reject: float = 0.001, seed: int = 7,
+    sample_rows: int = 3000, sample_bytes: int = 256 << 20, dim: int = 16, epochs: int = 8, rate: float = 40.0, false_reject: float = 0.001, seed: int = 7,
 ) -> LanguageModel:
-    """Fits on at most sample_rows labelled texts, about as many of each language, chosen by a hash of the id.
+    """Fits on about sample_rows labelled texts, as many of each language (one at least), chosen by a hash of the id.
 
-    sample_rows bounds what reaches the driver: sample_rows texts as at most BUCKETS counts each. ``train`` says which
-    rows may be learned from. false_reject: the share of known-language texts that the rejection may cost, by the
-    texts kept out of the training.
+    What reaches the driver is bounded by max(sample_rows, number of languages) texts, as counts of at most BUCKETS
+    subwords each, and by sample_bytes of these (a language's first text is always taken). ``train`` says which rows may
+    be learned from. false_reject: the share of known-language texts that the rejection may cost, by the texts kept out
+    of the training.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.filter(train) if train is not None else docs
     rows = rows.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(sample_rows).collect()}
-    names = tuple(sorted(sizes))
+    sizes = sorted((r["l"], r["n"]) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect())
+    names = tuple(l for l, _ in sizes)
     if not names:
-        return LanguageModel((), np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return _nothing()
     each = max(1, sample_rows // len(names))
-    share = F.create_map(*[x for l in names for x in (F.lit(l), F.lit(min(1.0, 1.3 * each / sizes[l] + 20 / sizes[l])))])
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.lit(1 << 20)).cast("double") / F.lit(1 << 20)
-    chosen = rows.withColumn("h", place).filter(F.col("h") < F.element_at(share, F.col("l"))).select("l", "h", "t")
-    chosen = chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count_batches, "l string, h double, ids binary, n binary")
-    kept = chosen.orderBy("h").limit(2 * sample_rows).toArrow()  # a few large buffers, not many objects
-    by: dict[str, int] = {}
-    data, labels = [], []
-    for i, l in enumerate(kept["l"].to_pylist()):
-        ids, n = (np.frombuffer(kept[c][i].as_buffer(), kind) for c, kind in (("ids", np.uint16), ("n", np.int32)))
-        if by.get(l, 0) < each and len(ids):
-            by[l] = by.get(l, 0) + 1
-            data.append((ids, n))
-            labels.append(names.index(l))
-    labels = np.array(labels, np.int64)
+    # a text goes on if its hash is low enough for about 1.3 times the texts wanted of its language, and 20 more
+    cut = [(l, min(2**63 - 1, int((1.3 * each + 20) / n * 2**63))) for l, n in sizes]
+    cut = F.broadcast(spark.createDataFrame(cut, "l string, cut long"))  # a row a language
+    near = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("k")).bitwiseAND(F.lit(2**63 - 1))).join(cut, "l").filter("h <= cut")
+    near = near.select("l", "h", "t").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_count_batches, "l string, h long, ids binary, n binary")
+    order = Window.partitionBy("l").orderBy("h", "ids", "n")  # equal counts are equal rows to the fit
+    size = F.octet_length("ids") + F.octet_length("n")
+    near = near.filter(F.octet_length("ids") > 0).withColumn("place", F.row_number().over(order)).withColumn("bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = near.filter((F.col("place") == 1) | ((F.col("place") <= each) & (F.col("bytes") <= sample_bytes // len(names))))
+    kept = kept.select("l", "place", "ids", "n").toArrow()  # a few large buffers, not many objects
+    turn = sorted(range(len(kept)), key=lambda i, l=kept["l"].to_pylist(), p=kept["place"].to_pylist(): (p[i], l[i]))
+    data = [tuple(np.frombuffer(kept[c][i].as_buffer(), kind) for c, kind in (("ids", np.uint16), ("n", np.int32))) for i in turn]
+    number = {l: i for i, l in enumerate(names)}
+    labels = np.array([number[kept["l"][i].as_py()] for i in turn], np.int64)
     if not len(data):
-        return LanguageModel((), np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    out = np.arange(len(data)) % 5 == 4 if len(data) >= 50 else np.zeros(len(data), bool)
+        return _nothing()
+    # a language's first four texts of five are learned from
+    out = np.array([kept["place"][i].as_py() % 5 == 0 for i in turn]) if len(data) >= 50 else np.zeros(len(data), bool)
     learn = np.flatnonzero(~out)
-    table, bias = _sgd([data[i] for i in learn], labels[learn], len(names), dim, epochs, rate, seed)
+    table, bias = _settled([data[i] for i in learn], labels[learn], len(names), dim, epochs, rate, seed)
     held = np.flatnonzero(out) if out.any() else learn
     z = np.stack([(table[data[i][0]] * (data[i][1] / data[i][1].sum())[:, None]).sum(axis=0) + bias for i in held])
     temperature, p = _calibrate(z, labels[held])
@@ -203,14 +207,32 @@ def fit(
     return LanguageModel(names, full, bias, temperature, threshold)
 
 
+def _nothing() -> LanguageModel:
+    return LanguageModel((), np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+
+
+def _settled(rows, labels, k: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """_sgd at the rate, or at a quarter of it and so on, until it is finite and no worse than equal odds for all languages."""
+    for _ in range(8):
+        with np.errstate(all="ignore"):
+            table, bias = _sgd(rows, labels, k, dim, epochs, rate, seed)
+            z = np.stack([(table[ids] * (n / n.sum())[:, None]).sum(axis=0) + bias for ids, n in rows])
+            z -= z.max(axis=1, keepdims=True)
+            loss = (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), labels]).mean()
+        if np.isfinite(table).all() and np.isfinite(bias).all() and loss <= np.log(k) + 0.05:
+            return table, bias
+        rate /= 4
+    return np.zeros((BUCKETS, k)), np.zeros(k)
+
+
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """The temperature with the least log loss, and the probabilities it gives."""
+    """The temperature with the least log loss, and the probabilities it gives; 1 before all others."""
     best = (np.inf, 1.0, None)
-    for t in np.geomspace(0.1, 20, 60):
+    for t in [1.0, *np.geomspace(0.1, 20, 60)]:
         p = np.exp((z - z.max(axis=1, keepdims=True)) / t)
         p /= p.sum(axis=1, keepdims=True)
         loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()
-        if loss < best[0] - 1e-12:
+        if best[2] is None or loss < best[0] - 1e-12:
             best = (loss, float(t), p)
     return best[1], best[2]
 
