@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from timberline.llm import mixing as M
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,20 +20,36 @@ def _targets(sizes, weights=(3, 1, 2), budget=1.5, repeats=2):
     return {s: min(repeats * sizes[s], w[s] * hi) for s in names}
 
 
-def _brute(rows):
+def _offers(rows, repeats=2):
+    """Of each copy: virtual finish time, source's place, words of the source up to its end, size, row number."""
     docs = [(i, s, len(WORD.findall(t or ""))) for i, t, s in rows]
     sizes = defaultdict(int)
     for _, s, n in docs:
         sizes[s] += n
-    target, out = _targets(sizes), []
-    for source in sizes:
-        own = sorted((hashlib.md5(str(i).encode() if i is not None else b"null").hexdigest(), i, n) for i, s, n in docs if s == source)
-        end = 0
-        for _, i, n in own:
-            end += n
-            copies = sum(end + r * sizes[source] - n / 2 <= target[source] + 1e-6 for r in range(2)) if n else 0
-            out.append((i, n, sizes[source], round(target[source], 3), copies * n))
-    return sorted(out, key=str)
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    out = []
+    for place, source in enumerate(names):
+        own = sorted((hashlib.md5(str(i).encode() if i is not None else b"null").hexdigest(), k) for k, (i, s, n) in enumerate(docs) if s == source)
+        for r in range(repeats):
+            end = r * sizes[source]
+            for _, k in own:
+                n = docs[k][2]
+                end += n
+                if n:
+                    out.append(((end - n / 2) / (3, 1, 2)[place % 3], place, end, n, k))
+    return docs, sizes, sorted(out)
+
+
+def _brute(rows, budget=1.5):
+    """Serves copy after copy until the budget is reached."""
+    docs, sizes, offers = _offers(rows)
+    target, taken, upto = _targets(sizes), defaultdict(int), 0
+    for _, _, _, n, k in offers:
+        upto += n
+        if upto - n / 2 > budget * sum(sizes.values()):
+            break
+        taken[k] += n
+    return sorted([(i, n, sizes[s], round(target[s], 3), taken[k]) for k, (i, s, n) in enumerate(docs)], key=str)
 
 
 def _run(spark, rows):
@@ -66,10 +84,38 @@ def test_mixed_stream(spark):
     assert dict(copies) == want
 
 
-def test_many_levels(spark, monkeypatch):
-    monkeypatch.setattr(M, "LEAF_ROWS", 1 / 256)
-    rows = [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(300)]
-    assert _run(spark, rows) == _brute(rows)
+def test_many_ranges_and_sources(spark):
+    """Small ranges, a hot source, many small ones."""
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, "w " * (i * 5 % 9), "ab"[i % 2] if i % 3 else f"s{i % 40}") for i in range(500)]
+        assert _run(spark, rows) == _brute(rows)
+        assert _run(spark, rows[:1]) == _brute(rows[:1])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_near_the_closed_form(spark, sf):
+    """Each source's words, cut on its own at its target (half a document off at most), against the sorted truncation."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = M.schedule(docs).join(docs.select(docs["doc_id"].alias("id"), "source"), "id").collect()
+    taken, target, largest = defaultdict(int), {}, defaultdict(int)
+    for r in own:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert all(abs(taken[s] - target[s]) <= 0.75 * largest[s] for s in target)
+    assert abs(sum(taken.values()) - sum(target.values())) <= max(largest.values())
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rows = [(1, "w " * 400_000, "a", 1), (2, "x", "a", 2), (3, "y z", "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, finish int").withColumn("place", F.lit(1)).withColumn("target", F.lit("t"))
+    got = {r["id"]: r["taken"] for r in M.schedule(docs).collect()}
+    assert got == {i: t for i, _, _, _, t in _brute([r[:3] for r in rows])}
+    assert M.mix(docs).columns == docs.columns
 
 
 def test_edges(spark):

@@ -113,9 +113,13 @@ def oracle_sql() -> dict[str, str]:
                        FROM w WINDOW o AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
                  f AS (SELECT *, cap / weight <= (total - cap_before) / (all_weight - weight_before) AS sat FROM b),
                  g AS (SELECT *, sum(CASE WHEN sat THEN cap ELSE 0 END) OVER () AS gone, sum(CASE WHEN sat THEN weight ELSE 0 END) OVER () AS gone_weight FROM f),
-                 t AS (SELECT source, source_size, CASE WHEN sat THEN CAST(cap AS DOUBLE) ELSE weight * ((total - gone) / (all_weight - gone_weight)) END AS target FROM g),
-                 e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY spot, doc_id ROWS UNBOUNDED PRECEDING) AS "end" FROM d)
-            SELECT e.doc_id, e.size, t.source_size, t.target,
-                   CAST(e.size * (CASE WHEN "end" - e.size / 2 <= target THEN 1 ELSE 0 END + CASE WHEN "end" + t.source_size - e.size / 2 <= target THEN 1 ELSE 0 END) AS BIGINT) AS taken
-            FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source""",
+                 t AS (SELECT source, source_size, weight, CASE WHEN sat THEN CAST(cap AS DOUBLE) ELSE weight * ((total - gone) / (all_weight - gone_weight)) END AS target FROM g),
+                 e AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY spot, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS place FROM d),
+                 c AS (SELECT e.doc_id, e.size, t.source, t.source_size, t.target, e.place + i * t.source_size AS place, (e.place + i * t.source_size - e.size / 2) / t.weight AS finish
+                       FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source, range(2) AS r(i)),
+                 o AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, place ROWS UNBOUNDED PRECEDING) AS upto,
+                              (SELECT sum(size) FROM d) * CAST(1.5 AS DOUBLE) AS budget FROM c)
+            SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+                   CAST(sum(CASE WHEN upto - size / 2 <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
+            FROM o GROUP BY doc_id""",
     }
