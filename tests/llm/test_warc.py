@@ -1,6 +1,9 @@
 import base64
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from timberline.llm import warc as W
 
 ROWS = [(5, "http://a/", "<p>x</p>"), (3, "http://b/\r\nX-Evil: 1", "<p>x</p>"), (4, None, None), (9, "u", ""), (7, "http://é/", "é" * 5000), (8, "http://c/", "<p>x</p>"), (2, "k", "only")]
@@ -47,6 +50,54 @@ def test_records_round_trip(spark, tmp_path):
     assert len({f["WARC-Record-ID"] for f in ids.values()}) == len(ROWS)
 
 
+def test_hot_payload_and_long_payload(spark, tmp_path, monkeypatch):
+    """Half of all records share a payload; one payload is of 3 MB; other columns have this operator's names."""
+    rows = [(i, f"http://h/{i}", "same" if i % 2 else f"body {i}" * (300_000 if i == 50 else 1)) for i in range(400)]
+    path = f"file://{tmp_path}/a"
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], "page_id long, url string, html string, sha256 string, n int, header string, first int")
+    W.write(docs, path)
+    for share in (200, 1):  # with the hot digest dealt out, and without
+        monkeypatch.setattr(W._shared, "HOT_SHARE", share)
+        got = {r["page_id"]: r for r in W.records(spark, path).collect()}
+        assert len(got) == 400
+        for i, url, html in rows:
+            r = got[i]
+            assert bytes(r["payload"]) == html.encode() and r["target"] == url and r["payload_bytes"] == len(html)
+            assert (r["record_type"], r["refers_to"]) == (("revisit", 1) if i % 2 and i > 1 else ("response", None))
+            assert (html.encode() in bytes(r["record"])) == (r["record_type"] == "response")
+
+
+def test_payloads_are_joined_where_they_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W._shared, "HOT_SHARE", 1)
+    path = f"file://{tmp_path}/a"
+    _write(spark, ROWS, path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = W.summary(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("part,old,new", [("header", "Content-Length: 1", "Content-Length: 2"), ("header", "sha1:", "sha1:A"), ("header", "Type: response", "Type: revisit"), ("payloads", "only", "0nly")])
+def test_damage_raises(spark, tmp_path, part, old, new):
+    path = f"file://{tmp_path}/a"
+    _write(spark, [(2, "k", "only" + "." * 20)], path)
+    if part == "header":
+        hurt = spark.read.parquet(f"{path}/headers").withColumn("header", F.replace("header", F.lit(old), F.lit(new)))
+        rows = hurt.collect()
+        spark.createDataFrame(rows, hurt.schema).write.mode("overwrite").parquet(f"{path}/headers")
+    else:
+        stored = spark.read.parquet(f"{path}/payloads").collect()
+        table = f"hurt_{part}"
+        hurt = spark.createDataFrame([(r["sha256"], bytes(r["payload"]).replace(old.encode(), new.encode())) for r in stored], "sha256 string, payload binary")
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        hurt.write.mode("overwrite").bucketBy(buckets, "sha256").option("path", f"{path}/payloads").saveAsTable(table)
+        spark.sql(f"DROP TABLE {table}")
+    with pytest.raises(Exception, match="digest|header says"):
+        W.summary(spark, path).collect()
+
+
 def test_edges(spark, tmp_path):
     _write(spark, [], f"file://{tmp_path}/e")
     assert W.summary(spark, f"file://{tmp_path}/e").count() == 0

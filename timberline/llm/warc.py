@@ -1,9 +1,13 @@
 """WARC archives, content-addressed: payload bytes once by digest, exact record headers apart, records by joins.
 
-An archive is a folder with two tables. ``payloads`` holds each distinct payload once, under its SHA-256. ``headers``
-holds, for every record, the exact bytes of its WARC header block and of its HTTP header, its SHA-256 and its id.
-A record is its header, an empty line, its block (HTTP header and payload; a revisit has no payload) and two line ends.
-Reading verifies each payload's digest and takes records apart from their header bytes alone.
+An archive is a folder with two tables. ``payloads`` holds each distinct payload once, under its SHA-256, in as many
+buckets by that digest as ``layout`` says. ``headers`` holds, for every record, the exact bytes of its WARC header block
+and of its HTTP header, and its SHA-256. A record is its header, an empty line, its block (HTTP header and payload; a
+revisit has no payload) and two line ends.
+
+Reading joins headers and payloads by digest (payloads lie in buckets, so only headers are shuffled; digests that many
+records share are dealt out), assembles every record, and takes all columns from its bytes. A payload that hasn't its
+SHA-256, a declared WARC-Payload-Digest that isn't the payload's, and a Content-Length that isn't the block's raise.
 
 Of records with equal payloads, that with the smallest id is the response and the others are revisits that refer to it.
 
@@ -20,10 +24,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm._shared import join_unique, shared_dir, spill
+from timberline.llm import _shared
+from timberline.llm._shared import join_unique, shared_dir, spill, write as write_table
 
 CRLF = "\r\n"
-NO_ID = -(1 << 63)
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -50,14 +54,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     owners = spill(narrow.groupBy("sha256").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "owners")
     total = narrow.count()
 
-    # the payload of each owner: one shuffle by the (nearly unique) id, no key is hot
-    keyed = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.sha2("payload", 256).alias("sha256"), "payload")
-    mine = owners.select(F.coalesce("first", F.lit(NO_ID)).alias("id"), "sha256")
-    stored = keyed.join(mine, ["id", "sha256"], "left_semi").select("sha256", "payload")
-    again = narrow.groupBy("sha256", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(owners.select("sha256", F.col("first").alias("id")), ["sha256", "id"], "left_semi")
-    if narrow.filter("id is null").limit(1).count() or again.limit(1).count():
-        stored = stored.dropDuplicates(["sha256"])
-    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # one copy of each payload: copies go before the shuffle, and a hot one comes once from each task
+    stored = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
+    spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the shuffle's own parts: a file each
+    table = f"tl_payloads_{uuid.uuid4().hex}"
+    stored.write.bucketBy(buckets, "sha256").option("compression", "zstd").option("path", f"{path}/payloads").saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
 
     known = join_unique(narrow, owners, ["sha256"], "n", total)
     response = F.col("id").eqNullSafe(F.col("first"))
@@ -83,47 +87,66 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.length(http) + F.when(response, F.col("bytes")).otherwise(0)).cast("string")),
     )
-    known.select("id", "sha256", header.alias("header"), http.alias("http")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    write_table(known.select("sha256", header.alias("header"), http.alias("http")), f"{path}/headers")
+    _shared.drop(narrow, owners)
 
 
 def _field(name: str) -> Column:
-    found = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1)
+    found = F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 
-def read_payload_digests(spark: SparkSession, path: str) -> DataFrame:
-    """sha256, payload_bytes and payload_digest of each stored payload, computed from its bytes; a wrong key raises."""
-    stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    good = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("string"))
-    return stored.select(good.alias("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.upper(F.sha1("payload"))).alias("payload_digest"))
-
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    """sha256, payload, read by buckets, so that a join by sha256 needs no shuffle of them."""
+    buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
+    table = f"tl_payloads_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} (sha256 STRING, payload BINARY) USING parquet OPTIONS (path '{path}/payloads') CLUSTERED BY (sha256) INTO {buckets} BUCKETS")
+    found = spark.table(table).select("sha256", "payload")
+    spark.sql(f"DROP TABLE {table}")  # the frame keeps the layout
+    return found
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, sha256, record_type, refers_to, target, declared_digest, from the header bytes, and those (header, http)."""
-    headers = spark.read.schema("id long, sha256 string, header string, http string").parquet(f"{path}/headers")
-    return headers.select(
-        _field("X-Page").cast("long").alias("page_id"), "sha256", _field("WARC-Type").alias("record_type"), _field("X-Refers-To-Page").try_cast("long").alias("refers_to"),
-        _field("WARC-Target-URI").alias("target"), F.regexp_extract("header", r"(?m)^WARC-Payload-Digest: sha1:([A-Z2-7]{32})", 1).alias("declared_digest"), "header", "http",
-    )
 
-
-def summary(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, its payload verified."""
-    headers, stored = read_headers(spark, path), read_payload_digests(spark, path)
+def _joined(spark: SparkSession, path: str) -> DataFrame:
+    """sha256, header, http, payload: every header with its payload."""
+    headers = spark.read.schema("sha256 string, header string, http string").parquet(f"{path}/headers")
+    stored = _payloads(spark, path)
     per = spill(headers.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")), "records")
-    both = join_unique(headers.select("page_id", "sha256", "record_type", "refers_to"), stored.join(per, "sha256"), ["sha256"], "n", headers.count(), per)
-    return both.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = per.filter(F.col("n") > max(1, total) / _shared.HOT_SHARE)
+    if hot.isEmpty():
+        return headers.join(stored, "sha256")
+    keys = F.broadcast(hot.select("sha256"))  # fewer than HOT_SHARE digests
+    many = join_unique(headers.join(keys, "sha256", "left_semi"), stored.join(F.broadcast(hot), "sha256"), ["sha256"], "n", total, hot)
+    return headers.join(keys, "sha256", "left_anti").join(stored, "sha256").unionByName(many)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, record (its exact bytes) and payload (a revisit's too, from the response it refers to)."""
-    headers = read_headers(spark, path)
-    stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    both = headers.join(stored, "sha256")
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    """page_id, record_type, refers_to, target, payload_bytes, payload_digest, record (its exact bytes), payload.
+
+    A revisit's payload is that of the response it refers to. Everything is read from the rebuilt records and verified.
+    """
     end = F.lit(CRLF.encode())
-    record = F.concat(F.col("header").cast("binary"), end, F.col("http").cast("binary"), block, end, end)
-    return both.select("page_id", "record_type", record.alias("record"), "payload")
+    whole = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("binary"))
+    rows = _joined(spark, path).select("header", "http", whole.alias("payload"))
+    # the header says itself whether the payload belongs into the record
+    block = F.when(F.col("header").contains(f"{CRLF}WARC-Type: response{CRLF}"), F.col("payload")).otherwise(F.lit(b""))
+    rows = rows.select(F.concat(F.col("header").cast("binary"), end, F.col("http").cast("binary"), block, end, end).alias("record"), "payload")
+    rows = rows.withColumn("head", F.substring_index(F.col("record").cast("string"), CRLF * 2, 1))
+    size, digest = _field("Content-Length").try_cast("long"), base32(F.upper(F.sha1("payload")))
+    stands = F.octet_length("record") == F.octet_length("head") + F.lit(8) + size
+    right = F.coalesce(stands & (_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest)), F.lit(False))
+    record = F.when(right, F.col("record")).otherwise(F.raise_error(F.concat(F.lit("a record isn't what its header says: "), F.col("head"))).cast("binary"))
+    rows = rows.select(record.alias("record"), "payload", digest.alias("payload_digest"))
+    rows = rows.withColumn("head", F.substring_index(F.col("record").cast("string"), CRLF * 2, 1))
+    return rows.select(
+        _field("X-Page").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"), _field("X-Refers-To-Page").try_cast("long").alias("refers_to"),
+        _field("WARC-Target-URI").alias("target"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record", "payload",
+    )
+
+
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every rebuilt record."""
+    return records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def archive_path(spark: SparkSession) -> str:
