@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from timberline.llm import _shared
 from timberline.llm import minhash_dedup as M
 from timberline.llm._shared import shingles, text_buffer
 
@@ -19,7 +20,17 @@ def _bag(text):
     return {g: 1 + math.log(n) for g, n in grams.items()}
 
 
-def _sim(a, b):
+def _idf(rows, smooth=0.2):
+    """The weight of each shingle by its exact number of documents (rows with an id), on the grid."""
+    docs = [t for i, t in rows if i is not None]
+    counts = Counter(g for t in docs for g in _bag(t))
+    level = lambda p: math.log(1 + 1 / (p + smooth)) / math.log(1 + 1 / smooth)
+    return {g: math.exp(round(math.log(level(n / len(docs))) / 0.02) * 0.02) for g, n in counts.items()}
+
+
+def _sim(a, b, idf=None):
+    w = idf or Counter()
+    a, b = ({g: x * (w[g] if idf else 1) for g, x in bag.items()} for bag in (a, b))
     both = sum(min(w, b[g]) for g, w in a.items() if g in b)
     total = sum(a.values()) + sum(b.values()) - both
     return both / total if total else 0.0
@@ -36,10 +47,10 @@ def _brute(rows):
         return x
 
     texts = sorted({(t or "", i) for i, t in rows if i is not None})
-    bags = [(i, t, _bag(t)) for t, i in texts]
+    bags, idf = [(i, t, _bag(t)) for t, i in texts], _idf(rows)
     for x in range(len(bags)):
         for y in range(x):
-            if bags[x][1] == bags[y][1] or _sim(bags[x][2], bags[y][2]) >= 0.8:
+            if bags[x][1] == bags[y][1] or _sim(bags[x][2], bags[y][2], idf) >= 0.8:
                 a, b = find(bags[x][0]), find(bags[y][0])
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -86,15 +97,38 @@ def test_samples_estimate_the_weighted_jaccard():
     assert abs((x == y).mean() - want) < 0.03
 
 
+def _nothing():
+    return M.Weights(1, np.zeros((M.CELL_ROWS, 1 << M.CELL_BITS)), 0.2)
+
+
 def test_verification_is_exact():
     rng = random.Random(5)
     base = _words(rng, 200)
     a, b = [_family(rng, base, e) for e in (0, 3, 9)], [_family(rng, base, 2), " ".join(base), ""]
-    none = M.Weights(3, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0.1, 0.8)
-    got = M.weighted_jaccard(pa.array(a), pa.array(b), none)
+    got = M.weighted_jaccard(pa.array(a), pa.array(b), _nothing())
     assert np.allclose(got, [_sim(_bag(x), _bag(y)) for x, y in zip(a, b)])
 
 
+def test_weights_by_definition(spark):
+    """Shares over several partitions, and the weights they give, whatever the table's size."""
+    rng = random.Random(8)
+    hot = " ".join(_words(rng, 12))
+    rows = [(i, (hot + " " if i % 3 == 0 else "") + " ".join(_words(rng, 30))) for i in range(400)]
+    idf = _idf(rows)
+    seen = []
+    for times in (1, 10):
+        texts = spark.createDataFrame([(t,) for _, t in rows * times], "t string").repartition(4)
+        docs, counts = M.document_shares(texts)
+        assert docs == 400 * times and counts.sum() == M.CELL_ROWS * times * sum(len(_bag(t)) for _, t in rows)
+        weights = M.Weights(docs, counts, 0.2)
+        for _, t in rows[:30]:
+            buf, at = text_buffer(pa.array([t]))
+            h, tf, _ = shingles(buf, at)
+            assert np.allclose(sorted(weights.of(h, tf)), sorted(w * idf[g] for g, w in _bag(t).items()), rtol=1e-5)
+        seen.append(weights.idf)
+    assert np.array_equal(*seen) and len(set(idf.values())) >= 2 and min(idf.values()) < 0.7
+
+
 def test_against_brute_force(spark):
     rng = random.Random(6)
     rows = []
@@ -106,6 +140,10 @@ def test_against_brute_force(spark):
     rows += [(900, rows[3][1]), (901, ""), (902, ""), (903, None), (904, "two words"), (905, "two words"), (906, "two wordz"), (3, rows[3][1])]
     got, want = _run(spark, rows), _brute(rows)
     assert got == want
+    # most documents in one family: its shingles weigh less, and fewer of its pairs are links
+    base = _words(rng, 120)
+    rows = [(i, _family(rng, base, i % 5)) for i in range(60)] + [(100 + i, " ".join(_words(rng, 80))) for i in range(40)]
+    assert _run(spark, rows) == _brute(rows)
 
 
 def test_large_family_is_compared_in_blocks(spark, monkeypatch):
@@ -114,18 +152,21 @@ def test_large_family_is_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(7)
     base = _words(rng, 150)
     rows = [(i, _family(rng, base, rng.randrange(0, 14))) for i in range(150)]
-    assert _run(spark, rows, common_docs=10**9) == _brute(rows)
+    assert _run(spark, rows) == _brute(rows)
 
 
-def test_common_shingles_are_exact(spark):
-    rng = random.Random(8)
-    hot = " ".join(_words(rng, 12))
-    rows = [(hot + " " if i % 3 == 0 else "") + " ".join(_words(rng, 30)) for i in range(400)]
-    texts = spark.createDataFrame([(t,) for t in rows], "t string").repartition(4)
-    total, h, n = M.common_shingles(texts, 0.1, 20)
-    counts = Counter(g for t in rows for g in _bag(t))
-    want = sorted(c for c in counts.values() if c >= 40)
-    assert total == 400 and sorted(n.tolist()) == want and len(want) == 8
+@pytest.mark.parametrize("send,share", [(0, 200), (10**6, 3)])
+def test_every_way_to_join(spark, monkeypatch, send, share):
+    """Ids by shuffle or broadcast, hot keys beside cold ones, gives the same classes."""
+    monkeypatch.setattr(M, "SEND_ROWS", send)
+    monkeypatch.setattr(_shared, "HOT_SHARE", share)
+    rng = random.Random(11)
+    base, other = _words(rng, 150), _words(rng, 90)
+    rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, _family(rng, base, i % 8)) for i in range(40)] + [(200 + i, _family(rng, other, i % 4)) for i in range(20)]
+    rows += [(300, " ".join(_words(rng, 30_000)))]
+    assert _run(spark, rows) == _brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in M.keep_one(docs).collect()} == {i for i, c in _brute(rows).items() if i == c}
 
 
 @pytest.mark.parametrize("edges", [[], [(2, 1)], [(i + 1, i) for i in range(40)], [(i, 0) for i in range(1, 300)], [(5, 3), (3, 9), (8, 7), (9, 1), (7, 6)]])
@@ -152,7 +193,9 @@ def test_keep_one(spark):
     rows = [(4, " ".join(base)), (2, _family(rng, base, 1)), (7, " ".join(_words(rng, 50))), (7, " ".join(base)), (None, " ".join(base)), (4, " ".join(base))]
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _keep string")
     assert M.keep_one(docs).columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in M.keep_one(docs).collect()) == ["2", "None"]
+    kept = [(r["doc_id"], r["text"]) for r in M.keep_one(docs).collect()]
+    assert (7, rows[2][1]) in kept  # a text of its own, whatever shares its id
+    assert (None, " ".join(base)) in kept and len(kept) == 3
     assert M.keep_one(docs.limit(0)).count() == 0
 
 

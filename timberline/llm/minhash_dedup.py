@@ -1,10 +1,12 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
-A document is its set of five-word shingles, each weighted by (1 + ln tf) * idf. The idf is 1 for shingles in fewer than
-``common_share`` of all documents and falls to ``least_idf`` as a shingle becomes ubiquitous: families of copies are
-common by being copied and must not lose weight for it, only text that is everywhere does. Document frequencies are exact
-and over all documents: a shingle as frequent as that is as frequent in some block of documents, so one pass finds the
-candidates block by block and a second counts them.
+A document is its set of five-word shingles, each weighted by (1 + ln tf) * idf. With p the share of all documents that
+have the shingle, idf = ln(1 + 1 / (p + smooth)), over its value at p = 0: smooth, for every shingle, and by shares
+alone, so that a table and its tenfold have equal weights. ``smooth`` bounds how much rarer is heavier: in the plain
+ln(1 + N / df) a family of copies loses weight for being copied, until its members are no longer alike (README has
+figures). Shares come from a count-min sketch over all documents, of fixed size: each task counts its documents, blocks
+of counters are added by key. A count is exact but for collisions, which add about (shingles a document) / 2**19 to p.
+Weights are held on a grid of 2 %, so that shingles in few documents weigh exactly 1.
 
 Steps:
 
@@ -13,119 +15,96 @@ Steps:
 2. Texts that agree on all samples of a band share a bucket. Each text is verified against its bucket's first text: the
    weighted Jaccard similarity of the whole texts, from all their shingles, must reach ``threshold``.
 3. Connected components are found by alternating large-star and small-star steps.
-4. A bucket whose texts are still in several components is taken up again: its texts outside the largest component are
-   compared with all its texts, in blocks of bounded size. Pairs of different components whose share of equal samples is
-   at least ``sample_floor`` (5.5 standard deviations below the threshold), and that share no earlier band, are verified
-   as in step 2, likeliest first, until a text is linked to a component or all its pairs with it are done. Then components
-   are found anew. So a link within a bucket is either verified, or lies within a component, or its samples rule it out;
-   no bucket is capped, and no pair leaves a block but a verified link.
+4. A bucket whose texts are still in several components is taken up again: the samples (not the texts) of its texts
+   outside the largest component meet those of all its texts, in blocks of bounded size. Pairs of different components
+   whose share of equal samples is at least ``sample_floor`` (5.5 standard deviations below the threshold), and that
+   share no earlier band, are candidates. They are verified as in step 2, of each text and component the likeliest
+   first, eight times as many each round, until the two are linked or all their pairs are done. Then components are found
+   anew. So a link within a bucket is either verified, or lies within a component, or its samples rule it out; no bucket
+   is capped, and no pair leaves a block but one that its samples say may be a link.
 
 Defined results: a null text counts as empty; all texts without a word that are equal are one class, as equal texts are;
 rows that repeat an id and a text are one document; a row with a null id has a null class; an empty table gives no rows.
-Of an id with several texts, each text is compared and the id gets the smallest class of them.
+Of an id with several texts, each text is compared and the id gets the smallest class of them (keep_one tells them apart).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm._shared import HASH_BITS, bound_batches, chunks, join_unique, mix, shingles, spill, text_buffer
+from timberline.llm._shared import HASH_BITS, bound_batches, chunks, drop, join_unique, mix, shingles, spill, text_buffer
 
 WIDTH = 5
-MEMBER_BLOCK, MINOR_BLOCK = 128, 64
-# Texts of a block are about this long together.
-BLOCK_BYTES = 1 << 20
+# Texts of a block; what is sent of each is its samples.
+MEMBER_BLOCK, MINOR_BLOCK = 1024, 512
+# Rows of ids (8 bytes each) that are broadcast at most.
 SEND_ROWS = 1_000_000
 
 # --- document frequencies -----------------------------------------------------------------------------------------
 
-BLOCK_SHINGLES, BLOCK_DOCS = 1 << 21, 4096
-
-
-def _common_in_block(share: float):
-    def run(batches):
-        held, docs, size = [], 0, 0
+CELL_BITS, CELL_ROWS, CELL_BLOCK = 19, 2, 8192
 
-        def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array(h[n >= share * docs].astype(np.int64))], ["h"])
-
-        for batch in batches:
-            buf, at = text_buffer(batch.column("t"))
-            for i, j in chunks(at):
-                h, _, _ = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], WIDTH)
-                held.append(h)
-                docs, size = docs + j - i, size + len(h)
-                if size >= BLOCK_SHINGLES and (docs >= BLOCK_DOCS or size >= 4 * BLOCK_SHINGLES):
-                    yield flush()
-                    held, docs, size = [], 0, 0
-        if docs:
-            yield flush()
 
-    return run
+def _cells(h: np.ndarray) -> list[np.ndarray]:
+    """Each shingle's counter in each row of the sketch."""
+    return [((h >> np.uint64(k * CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64) for k in range(CELL_ROWS)]
 
 
-def _count_known(shared):
-    def run(batches):
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for batch in batches:
-            buf, at = text_buffer(batch.column("t"))
-            for i, j in chunks(at):
-                h, _, _ = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], WIDTH)
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                total += np.bincount(place[known[place] == h], minlength=len(known))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[seen].astype(np.int64)), pa.array(total[seen])], ["h", "n"])
+def _sketch(batches):
+    """A task's counters, in blocks (c); those of c = -1 are its number of documents."""
+    total, docs = np.zeros((CELL_ROWS, 1 << CELL_BITS), np.int64), 0
+    for batch in batches:
+        buf, at = text_buffer(batch.column("t"))
+        docs += len(at) - 1
+        for i, j in chunks(at):
+            h, _, _ = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], WIDTH)
+            for row, place in zip(total, _cells(h)):
+                row += np.bincount(place, minlength=len(row))
+    blocks = total.reshape(-1, CELL_BLOCK)
+    used = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int32()), pa.array([np.int64(docs).tobytes(), *(blocks[u].tobytes() for u in used)], pa.binary())], ["c", "n"])
 
-    return run
 
+def _added(batches):
+    """The sums of the blocks with equal c; a task holds one sum a c."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, n in zip(batch.column("c").to_pylist(), batch.column("n")):
+            n = np.frombuffer(n.as_buffer(), np.int64)
+            held[c] = held[c] + n if c in held else n.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n.tobytes() for n in held.values()], pa.binary())], ["c", "n"])
 
-def common_shingles(texts: DataFrame, share: float, least_docs: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Documents, and hash (sorted) and exact document frequency of each shingle in at least ``share`` of them.
 
-    There are at most (mean shingles a document) / share of these.
-    """
-    spark = texts.sparkSession
-    texts = texts.select("t")
-    total = texts.count()
-    if total < least_docs:
-        return total, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found = spill(texts.mapInArrow(_common_in_block(share), "h long").distinct(), "candidates")
-    size = found.count()
-    parts = -(-size // SEND_ROWS)
-    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for p in range(parts):  # each part holds about SEND_ROWS hashes: what is sent is bounded
-        known = np.array([r["h"] for r in found.filter(F.pmod(F.col("h"), F.lit(parts)) == p).collect()], np.uint64)
-        if not len(known):
-            continue
-        known.sort()
-        counted = texts.mapInArrow(_count_known(spark.sparkContext.broadcast(known)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        rows = counted.filter(F.col("n") >= max(least_docs, share * total)).collect()
-        hashes.append(np.array([r["h"] for r in rows], np.uint64))
-        counts.append(np.array([r["n"] for r in rows], np.int64))
-    h, n = np.concatenate(hashes), np.concatenate(counts)
-    order = np.argsort(h)
-    return total, h[order], n[order]
+def document_shares(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents (rows of t), and the sketch's counters: of fixed size, whatever the table's."""
+    added = texts.select("t").mapInArrow(_sketch, "c int, n binary").repartition("c").mapInArrow(_added, "c int, n binary")
+    blocks, docs = np.zeros((CELL_ROWS * (1 << CELL_BITS) // CELL_BLOCK, CELL_BLOCK), np.int64), 0
+    for r in added.collect():
+        if r["c"] < 0:
+            docs += int(np.frombuffer(r["n"], np.int64)[0])
+        else:
+            blocks[r["c"]] += np.frombuffer(r["n"], np.int64)
+    return docs, blocks.reshape(CELL_ROWS, -1)
 
 
 class Weights:
-    """Weight of a shingle in a document: (1 + ln tf) * idf."""
+    """Weight of a shingle in a document: (1 + ln tf) * idf, the idf of its least counter."""
 
-    def __init__(self, total: int, hashes: np.ndarray, counts: np.ndarray, share: float, least: float):
-        self.hashes = hashes
-        self.idf = np.clip(np.log(max(total, 1) / np.maximum(counts, 1)) / np.log(1 / share), least, 1.0)
+    def __init__(self, docs: int, counts: np.ndarray, smooth: float, grid: float = 0.02):
+        share = np.minimum(1.0, counts / max(docs, 1))
+        idf = np.log1p(1 / (share + smooth)) / np.log1p(1 / smooth)
+        self.idf = np.exp(np.round(np.log(idf) / grid) * grid).astype(np.float32)
 
     def of(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = 1 + np.log(tf)
-        if len(self.hashes):
-            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = np.flatnonzero(self.hashes[place] == h)
-            w[hit] *= self.idf[place[hit]]
-        return w
+        idf = np.zeros(len(h), np.float32)
+        for row, place in zip(self.idf, _cells(h)):
+            np.maximum(idf, row[place], out=idf)
+        return (1 + np.log(tf)) * idf
 
 
 # --- consistent weighted sampling ---------------------------------------------------------------------------------
@@ -197,8 +176,8 @@ def _sign(weights, samples: int, rows: int):
                 full[i + some] = True
             offsets = np.concatenate([[0], np.cumsum(np.where(full, bands.shape[1], 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("g"), pa.ListArray.from_arrays(offsets, pa.array(bands[full].ravel())), pa.array([r.tobytes() for r in short], pa.binary()), pa.array(np.diff(at))],
-                ["id", "g", "bands", "samples", "bytes"],
+                [batch.column("id"), batch.column("g"), pa.ListArray.from_arrays(offsets, pa.array(bands[full].ravel())), pa.array([r.tobytes() for r in short], pa.binary())],
+                ["id", "g", "bands", "samples"],
             )
 
     return run
@@ -225,16 +204,16 @@ def weighted_jaccard(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' similarity reaches the threshold; b may be in many pairs. Spilled."""
-    spark = pairs.sparkSession
+    """The pairs (a, b) whose texts' similarity reaches the threshold; either may be in many pairs. Spilled."""
     ids = spill(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired")
     few = ids.count() <= SEND_ROWS
     used = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    left = pairs.join(used.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    per = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    per = spill(per, "paired")
-    right = used.select(F.col("id").alias("b"), F.col("t").alias("tb")).join(per, "b")
-    both = join_unique(left, right, ["b"], "n", pairs.count(), per)
+    total, both, counts = pairs.count(), pairs, []
+    for side in ("a", "b"):
+        per = spill(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "paired")
+        each = used.select(F.col("id").alias(side), F.col("t").alias(f"t{side}")).join(per, side)
+        both = join_unique(both, each, [side], "n", total, per)
+        counts.append(per)
     both = both.select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -243,7 +222,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
             mask = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return spill(both.mapInArrow(run, "a long, b long"), "edges")
+    found = spill(both.mapInArrow(run, "a long, b long"), "edges")
+    drop(ids, *counts)
+    return found
 
 
 # --- components ---------------------------------------------------------------------------------------------------
@@ -264,12 +245,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         total = least.agg(F.sum("n")).first()[0]
         large = join_unique(both.filter("v > u"), least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = spill(large.filter("u <> v").distinct(), "graph")
+        drop(e, least)
         down = spill(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         kept = down.select("u", F.col("m").alias("v"))
         total = down.agg(F.sum("n")).first()[0]
         moved = join_unique(large, down.filter("n > 1"), ["u"], "n", total)
         moved = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = spill(kept.union(moved).distinct(), "graph")
+        drop(large, down)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("label"))
@@ -280,16 +263,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _cell(column: pa.Array, r: int, samples: int):
-    """The ids, labels, samples and texts of one block."""
+    """The ids, labels and samples of one block."""
     a, b = column.offsets[r].as_py(), column.offsets[r + 1].as_py()
     part = column.values.slice(a, b - a)
-    data = part.field("samples")
-    bits = np.frombuffer(b"".join(data.to_pylist()), np.uint16).reshape(b - a, samples)
-    return part.field("id").to_numpy(), part.field("label").to_numpy(), bits, part.field("t")
+    bits = np.frombuffer(b"".join(part.field("samples").to_pylist()), np.uint16).reshape(b - a, samples)
+    return part.field("id").to_numpy(), part.field("label").to_numpy(), bits
 
 
 def _likely_pairs(sa, sb, la, lb, band: int, rows: int, floor: float):
-    """Places x, y of pairs with different labels, enough equal samples and no common band before ``band``; and the share."""
+    """Places x, y of pairs with different labels, enough equal samples and no common band before ``band``; and their number."""
     equal, earlier = np.zeros((len(sa), len(sb)), np.int16), np.zeros((len(sa), len(sb)), bool)
     for j in range(sa.shape[1] // rows):
         whole = np.ones(equal.shape, bool)
@@ -303,105 +285,122 @@ def _likely_pairs(sa, sb, la, lb, band: int, rows: int, floor: float):
     return x, y, equal[x, y]
 
 
-def _link_blocks(samples: int, rows: int, floor: float, threshold: float, weights):
+def _candidates(samples: int, rows: int, floor: float):
     def run(batches):
         for batch in batches:
-            links: list[tuple[int, int]] = []
             for r in range(batch.num_rows):
-                ia, la, sa, ta = _cell(batch.column("minors"), r, samples)
-                ib, lb, sb, tb = _cell(batch.column("members"), r, samples)
-                x, y, share = _likely_pairs(sa, sb, la, lb, batch.column("band")[r].as_py(), rows, floor)
-                goal = np.unique(np.stack([x, lb[y]]), axis=1, return_inverse=True)[1].ravel() if len(x) else x
-                order = np.lexsort((-share, goal))
-                x, y, goal = x[order], y[order], goal[order]
-                while len(x):  # of each text and component the likeliest pairs, more of them each time
-                    place = np.arange(len(goal)) - np.searchsorted(goal, goal)
-                    now = place < 8
-                    sim = weighted_jaccard(ta.take(pa.array(x[now])), tb.take(pa.array(y[now])), weights.value)
-                    hit = np.flatnonzero(sim >= threshold)
-                    _, one = np.unique(goal[now][hit], return_index=True)
-                    links += zip(ia[x[now][hit[one]]].tolist(), ib[y[now][hit[one]]].tolist())
-                    rest = ~now & ~np.isin(goal, goal[now][hit])
-                    x, y, goal = x[rest], y[rest], goal[rest]
-            found = np.array(links, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["a", "b"])
+                (ia, la, sa), (ib, lb, sb) = (_cell(batch.column(c), r, samples) for c in ("minors", "members"))
+                band, main = batch.column("band")[r].as_py(), batch.column("main")[r].as_py()
+                for at in range(0, len(ib), 128):
+                    x, y, equal = _likely_pairs(sa, sb[at : at + 128], la, lb[at : at + 128], band, rows, floor)
+                    y = y + at
+                    # of two texts outside the largest component each meets the other: once will do
+                    once = (lb[y] == main) | (ia[x] > ib[y])
+                    x, y, equal = x[once], y[once], equal[once]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(ia[x]), pa.array(ib[y]), pa.array(lb[y]), pa.array(equal.astype(np.int32))], ["a", "b", "goal", "equal"])
 
     return run
 
 
+def _link_open(labelled: DataFrame, unique: DataFrame, texts: DataFrame, weights, threshold: float, samples: int, rows: int, floor: float, total: int) -> DataFrame:
+    """Verified links (a, b) between the components that meet in a bucket. Spilled. labelled: bucket, band, id, label."""
+    per = labelled.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
+    blocks_of = lambda n, most: F.ceil(n / F.lit(most)).cast("int")
+    mixed = per.filter("top < n").select("bucket", "main", "n", blocks_of(F.col("n") - F.col("top"), MINOR_BLOCK).alias("parts"), blocks_of(F.col("n"), MEMBER_BLOCK).alias("blocks"))
+    mixed = spill(mixed, "mixed")
+    members = spill(join_unique(labelled, mixed, ["bucket"], "n", total), "open")
+    full = members.join(unique.select("id", "samples").dropDuplicates(["id", "samples"]), "id").withColumn("spot", F.xxhash64(F.lit(3), "id"))
+    cell, at = F.struct("id", "label", "samples"), ["bucket", "band", "main", "part", "block"]
+    minors = full.filter("label <> main").withColumn("part", F.pmod("spot", "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = full.withColumn("block", F.pmod("spot", "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    minors = minors.groupBy(*at).agg(F.collect_list(cell).alias("minors"))
+    others = others.groupBy(*at).agg(F.collect_list(cell).alias("members"))
+    pairs = minors.join(others, at).select("band", "main", "minors", "members").mapInArrow(_candidates(samples, rows, floor), "a long, b long, goal long, equal int")
+    turn = F.row_number().over(Window.partitionBy("a", "goal").orderBy(F.desc("equal"), "b"))
+    pairs = spill(pairs.withColumn("turn", turn), "candidates")
+    drop(members, mixed)
+    most = pairs.agg(F.max("turn")).first()[0] or 0
+    done, low, high = [], 0, 4
+    while low < most:
+        now = pairs.filter((F.col("turn") > low) & (F.col("turn") <= high))
+        for links in done:
+            linked = links.join(pairs.select("a", "b", "goal"), ["a", "b"]).select("a", "goal").distinct()
+            now = now.join(linked, ["a", "goal"], "left_anti")
+        now = spill(now.select("a", "b"), "pairs")
+        done.append(_verify(now, texts, weights, threshold))
+        drop(now)
+        low, high = high, high * 8
+    none = labelled.sparkSession.createDataFrame([], "a long, b long")
+    return reduce(DataFrame.union, done, none)
+
+
 # --- the operator -------------------------------------------------------------------------------------------------
 
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5,
-    common_share: float = 0.1, common_docs: int = 100, least_idf: float = 0.8, sample_floor: float = 0.6,
+    smooth: float = 0.2, sample_floor: float = 0.6,
 ) -> DataFrame:
     """The id column and class_id (the least id of the class), one row a distinct id. Ids are 64-bit integers."""
     spark = docs.sparkSession
     bound_batches(spark)
     samples = bands * rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter("id is not null")
-    total, h, n = common_shingles(texts, common_share, common_docs)
-    weights = spark.sparkContext.broadcast(Weights(total, h, n, common_share, least_idf))
+    total, counts = document_shares(texts)
+    weights = spark.sparkContext.broadcast(Weights(total, counts, smooth))  # of fixed size
 
     signed = texts.select("id", "t", F.unhex(F.sha2("t", 256)).alias("g"))
-    signed = spill(signed.mapInArrow(_sign(weights, samples, rows), "id long, g binary, bands array<long>, samples binary, bytes long"), "samples")
+    signed = spill(signed.mapInArrow(_sign(weights, samples, rows), "id long, g binary, bands array<long>, samples binary"), "samples")
     # equal texts: one id each
     same = spill(signed.groupBy("g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "same")
     owner = spill(join_unique(signed.select("id", "g"), same, ["g"], "n", total).groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n")), "owner")
-    unique = signed.join(same.select("g", F.col("rep").alias("id")), ["g", "id"], "left_semi").dropDuplicates(["g", "id"])
     # an id with several texts can stand for several: its texts are compared under its id, one at a time
-    unique = spill(unique.select("id", "g", "bands", "samples", "bytes"), "unique")
-    in_band = unique.select("id", "bytes", F.posexplode("bands").alias("band", "h")).select("id", "bytes", "band", F.xxhash64("band", "h").alias("bucket"))
+    unique = spill(signed.join(same.select("g", F.col("rep").alias("id")), ["g", "id"], "left_semi").dropDuplicates(["g", "id"]).select("id", "g", "bands", "samples"), "unique")
+    drop(signed, same)
+    in_band = unique.select("id", F.posexplode("bands").alias("band", "h")).select("id", "band", F.xxhash64("band", "h").alias("bucket"))
     groups = spill(in_band.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = spill(join_unique(in_band, groups, ["bucket"], "n", max(1, total * bands)), "members")
+    all_bands = max(1, total * bands)
+    members = spill(join_unique(in_band, groups, ["bucket"], "n", all_bands), "members")
+    drop(groups)
 
     first = spill(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     linked = _verify(first, texts, weights, threshold)
-    links = owner.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    label = spill(components(linked.union(links)), "labels")
+    drop(first)
+    links = linked.union(owner.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    label = spill(components(links), "labels")
 
     # buckets that still hold several components
     sizes = spill(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     own = sizes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n")
-    labelled = spill(join_unique(members.select("bucket", "band", "id", "bytes"), own, ["id"], "n", max(1, total * bands)), "members")
-    per = labelled.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    per = per.groupBy("bucket").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("top"),
-        F.sum("bytes").alias("all_bytes"), F.max_by("bytes", F.struct("n", "label")).alias("top_bytes"),
-    )
-    blocks_of = lambda n, most, size: F.greatest(F.ceil(n / F.lit(most)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
-    mixed = per.filter("top < size").select(
-        "bucket", "main", F.col("size").alias("n"), blocks_of(F.col("size") - F.col("top"), MINOR_BLOCK, F.col("all_bytes") - F.col("top_bytes")).alias("parts"),
-        blocks_of(F.col("size"), MEMBER_BLOCK, F.col("all_bytes")).alias("blocks"),
-    )
-    mixed = spill(mixed, "mixed")
-    open_members = spill(join_unique(labelled.drop("bytes"), mixed, ["bucket"], "n", max(1, total * bands)), "open")
-    needed = spill(open_members.select("id").distinct(), "needed")
-    few = needed.count() <= SEND_ROWS
-    full = unique.select("id", "g", "samples").join(texts.join(F.broadcast(needed) if few else needed, "id", "left_semi").withColumn("g", F.unhex(F.sha2("t", 256))), ["id", "g"]).dropDuplicates(["id", "g"])
-    full = full.select("id", "samples", "t").join(needed.withColumn("spot", F.xxhash64(F.lit(3), "id")), "id")
-    full = open_members.join(full, "id")
-    cell = F.struct("id", "label", "samples", "t")
-    at = ["bucket", "band", "part", "block"]
-    minors = full.filter("label <> main").withColumn("part", F.pmod("spot", "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    others = full.withColumn("block", F.pmod("spot", "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    minors = minors.groupBy(*at).agg(F.collect_list(cell).alias("minors"))
-    others = others.groupBy(*at).agg(F.collect_list(cell).alias("members"))
-    more = spill(minors.join(others, at).select("band", "minors", "members").mapInArrow(_link_blocks(samples, rows, sample_floor, threshold, weights), "a long, b long"), "edges")
-    final = components(linked.union(links).union(more))
+    labelled = spill(join_unique(members.select("bucket", "band", "id"), own, ["id"], "n", all_bands), "members")
+    drop(members, sizes, label)
+    more = _link_open(labelled, unique, texts, weights, threshold, samples, rows, sample_floor, all_bands)
+    final = spill(components(links.union(more)), "labels")
     ids = owner.groupBy("id").agg(F.min("rep").alias("rep"))
     found = ids.join(final, "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"))
+    drop(labelled, unique)
     return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id is its class's least; of rows that repeat an id one stays; rows with a null id stay."""
-    found = spill(classes(docs, id_col, text_col, **options), "classes")
-    keep = found.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__tl_keep"))
+    """One row of each class stays: that with the class's least id; rows with a null id stay.
+
+    Rows that share an id and have different texts are documents of their own, under a hash of id and text as their id.
+    """
+    key, mark = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    several = docs.filter(key.isNotNull()).groupBy(key.alias("__tl_same")).agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.count(F.lit(1)).alias("n"))
+    several = spill(several.filter("n > 1"), "repeated")
+    doubtful = several.filter("a <> b").select("__tl_same")
+    named = docs.withColumn("__tl_id", key)
+    if not doubtful.isEmpty():
+        own = F.when(F.col("__tl_same").isNotNull(), F.xxhash64(key, mark)).otherwise(key)
+        named = docs.join(doubtful, key == F.col("__tl_same"), "left").withColumn("__tl_id", own).drop("__tl_same")
+    found = spill(classes(named, "__tl_id", text_col, **options), "classes")
+    keep = found.filter(F.col("__tl_id") == F.col("class_id")).select("__tl_id")
     few = keep.count() <= SEND_ROWS
-    key = F.col(id_col).cast("long")
-    kept = docs.join(F.broadcast(keep) if few else keep, docs[id_col].cast("long") == keep["__tl_keep"], "left_semi")
-    if docs.filter(key.isNotNull()).count() != found.count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(key.isNull()))
+    kept = named.join(F.broadcast(keep) if few else keep, "__tl_id", "left_semi")
+    if not several.isEmpty():
+        kept = kept.dropDuplicates(["__tl_id"])
+    return kept.select(*docs.columns).unionByName(docs.filter(key.isNull()))
