@@ -1,12 +1,12 @@
 """Exact top-k search by inner product: exhaustive term-at-a-time accumulation.
 
-Vectors are quantised to integers. Every task holds a block of candidates as postings by term (dimension): which
-candidates have a non-zero weight there, and the weights. The queries' non-zero weights are scattered term by term into
-dense arrays of scores, one row a query, and partition selection takes each query's best of the block. A query's best
-of all blocks are merged by rank.
-
-Queries travel in blocks of bounded size (``query_rows`` vectors); with several blocks, each block's results are written
-to the shared folder before the next block is sent, so the driver holds one block at a time.
+Vectors are quantised to integers. Candidates are packed into blocks of ``candidate_rows``, queries into blocks of
+``query_rows``. Every query block meets every candidate block: candidate blocks are dealt to groups, a few times as many
+as tasks run at once, and a join by query block and group brings them together, so that nothing passes through the driver
+and nothing is broadcast. Where two blocks meet, the candidates are postings by term (dimension): which of them have a
+non-zero weight there, and the weights. The queries' non-zero weights are scattered term by term into dense arrays of
+scores, one row a query, and partition selection takes each query's best of the block. A task keeps the best of the blocks
+it has seen; a query's best of all tasks are merged by rank.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part; a query never meets
 its own row, where a row is known by its id (repeated ids are one vector each, and none of them meets the query of that
@@ -16,8 +16,6 @@ weights beyond 2**62 are held there and sums wrap around as 64-bit numbers do; a
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +23,10 @@ from pyspark.sql import functions as F
 
 from timberline.llm._shared import bound_batches, spill
 
-BLOCK = 4096
 SCHEMA = "query_id long, vec_id long, score long"
+BLOCK_SCHEMA = "cell long, ids binary, kind string, weights binary"
+# Queries scored at a time, and query blocks whose best a task holds.
+LANES, HELD = 32, 64
 
 
 def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -40,21 +40,60 @@ def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
     )
 
 
-def _matrix(column: pa.Array, terms: int | None = None) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
     """Rows padded with zeros to the longest."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     flat, size = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.value_lengths())
-    out = np.zeros((len(size), max(terms or 0, size.max(initial=0))), np.int64)
+    out = np.zeros((len(size), size.max(initial=0)), np.int64)
     rows = np.repeat(np.arange(len(size)), size)
     out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out
 
 
+def _pack(rows: int, groups: int | None = None):
+    """Blocks of vectors in the narrowest type that holds them. groups: blocks are dealt out to them, whatever their cell."""
+
+    def block(cell: int, parts: list):
+        ids = np.concatenate([i for i, _ in parts])
+        out = np.zeros((len(ids), max(w.shape[1] for _, w in parts)), np.int64)
+        at = 0
+        for i, w in parts:
+            out[at : at + len(i), : w.shape[1]] = w
+            at += len(i)
+        kind = next(t for t in ("i2", "i4", "i8") if t == "i8" or np.abs(out.astype(float)).max(initial=0) < 2 ** (8 * int(t[1]) - 1))
+        return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([kind]), pa.array([out.astype(f"<{kind}").tobytes()], pa.binary())], ["cell", "ids", "kind", "weights"])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held: dict[int, list] = {}
+        number = TaskContext.get().partitionId() if groups else 0
+        for batch in batches:
+            cells, ids, weights = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("w"))
+            for cell in np.unique(cells):
+                mine = np.flatnonzero(cells == cell)
+                for a in range(0, len(mine), rows):
+                    part = mine[a : a + rows]
+                    parts = held.setdefault(int(cell), [])
+                    if parts and sum(len(i) for i, _ in parts) + len(part) > rows:
+                        yield block(number % groups if groups else int(cell), parts)
+                        held[int(cell)], number = [], number + 1
+                    held[int(cell)].append((ids[part], weights[part]))
+        for cell, parts in held.items():
+            yield block(number % groups if groups else cell, parts)
+            number += 1
+
+    return run
+
+
+def _unpack(ids: pa.Scalar, kind: str, weights: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids.as_buffer(), "<i8")
+    return ids, np.frombuffer(weights.as_buffer(), f"<{kind}").reshape(len(ids), -1)
+
+
 def _narrow(weights: np.ndarray, other: np.ndarray) -> type:
-    """32-bit sums do when no score can leave that range."""
+    """The quickest type whose sums are exact: 32-bit floats hold integers up to 2**24."""
     bound = float(np.abs(weights.astype(float)).max(initial=0)) * float(np.abs(other.astype(float)).max(initial=0)) * max(1, weights.shape[1])
-    return np.int32 if bound < 2**31 - 1 else np.int64
+    return np.float32 if bound < 2**24 else np.int32 if bound < 2**31 - 1 else np.int64
 
 
 def best_of_block(query_ids, queries, ids, block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,18 +102,26 @@ def best_of_block(query_ids, queries, ids, block, k: int) -> tuple[np.ndarray, n
     ids, block = ids[order], block[order]
     kind = _narrow(queries, block)
     terms = min(queries.shape[1], block.shape[1])
-    postings = [(at, block[at, t].astype(kind)) for t in range(terms) for at in [np.flatnonzero(block[:, t])]]
+    postings = []
+    for t in range(terms):
+        at = np.flatnonzero(block[:, t])
+        # a posting list that holds a quarter of the block or more is kept with its zeros: adding them is quicker than choosing
+        postings.append((None, np.ascontiguousarray(block[:, t], kind)) if 4 * len(at) >= len(ids) else (at, block[at, t].astype(kind)))
     out: list[tuple] = []
-    for a in range(0, len(queries), 64):
-        some = queries[a : a + 64].astype(kind)
+    spare = np.empty((LANES, len(ids)), kind)
+    for a in range(0, len(queries), LANES):
+        some = queries[a : a + LANES].astype(kind)
         scores = np.zeros((len(some), len(ids)), kind)
         for t, (at, weight) in enumerate(postings):
             live = np.flatnonzero(some[:, t])
-            if len(at) == len(ids) and len(live) == len(some):
-                scores += some[:, t, None] * weight
+            if at is None and 4 * len(live) >= len(some):
+                np.multiply(some[:, t, None], weight, out=spare[: len(some)])
+                scores += spare[: len(some)]
+            elif at is None:
+                scores[live] += some[live, t, None] * weight
             elif len(at) and len(live):
                 scores[np.ix_(live, at)] += some[live, t, None] * weight
-        for row, own in zip(scores, query_ids[a : a + 64]):
+        for row, own in zip(scores, query_ids[a : a + LANES]):
             use = np.flatnonzero(ids != own)
             s = row[use]
             if len(s) > k:
@@ -88,74 +135,53 @@ def best_of_block(query_ids, queries, ids, block, k: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _blocks(rows, size: int):
-    rows = iter(rows)
-    while part := list(itertools.islice(rows, size)):
-        yield part
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_rows: int = 8192) -> DataFrame:
+def search(
+    df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256,
+    query_rows: int = 2048, candidate_rows: int = 2048,
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of df with the highest scores for each row of queries."""
     spark = df.sparkSession
     bound_batches(spark)
-    candidates = quantise(df, id_col, vector_col, scale)
-    asked = quantise(queries, id_col, vector_col, scale).dropDuplicates(["vec_id", "w"])
-    parts, count = [], asked.count()
-    for part in _blocks(asked.toLocalIterator(), query_rows):
-        ids = np.array([r["vec_id"] for r in part], np.int64)
-        terms = max(len(r["w"]) for r in part)
-        weights = np.zeros((len(part), terms), np.int64)
-        for i, r in enumerate(part):
-            weights[i, : len(r["w"])] = r["w"]
-        shared = spark.sparkContext.broadcast((ids, weights))
-        found = candidates.mapInArrow(_searcher(shared, k), SCHEMA)
-        parts.append(found if count <= query_rows else spill(found, "topk"))
-        if count > query_rows:
-            shared.destroy()
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    # k rows a query and block of candidates
+    asked = spill(quantise(queries, id_col, vector_col, scale).dropDuplicates(["vec_id", "w"]), "asked")
+    blocks = max(1, -(-asked.count() // query_rows))
+    groups = -(-2 * spark.sparkContext.defaultParallelism // blocks)
+    asked = asked.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).select("cell", "vec_id", "w")
+    asked = asked.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pack(query_rows), BLOCK_SCHEMA)
+    asked = asked.select(F.col("cell").alias("q"), F.col("ids").alias("query_ids"), F.col("kind").alias("query_kind"), F.col("weights").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    held = quantise(df, id_col, vector_col, scale).select(F.lit(0).cast("long").alias("cell"), "vec_id", "w").mapInArrow(_pack(candidate_rows, groups), BLOCK_SCHEMA)
+    held = held.select(F.col("cell").alias("g"), "ids", "kind", "weights", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("q"))
+    found = held.join(asked, ["q", "g"]).mapInArrow(_searcher(k), SCHEMA)
+    # k rows a query and task
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(shared, k: int):
+def _merged(best, new, k: int):
+    """The k best of each query so far: one sort of what is held."""
+    q, v, s = (np.concatenate(c) for c in zip(best, new)) if best is not None else new
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[keep], v[keep], s[keep]
+
+
+def _searcher(k: int):
     def run(batches):
-        query_ids, queries = shared.value
-        held: list = []
-        best = None
-
-        def merged(best, new):
-            """The k best of each query so far: one sort of what is held."""
-            q, v, s = (np.concatenate(c) for c in zip(best, new)) if best is not None else new
-            order = np.lexsort((v, -s, q))
-            q, v, s = q[order], v[order], s[order]
-            first = np.searchsorted(q, q, side="left")
-            keep = np.arange(len(q)) - first < k
-            return q[keep], v[keep], s[keep]
-
-        def flush():
-            ids = np.concatenate([i for i, _ in held])
-            terms = max(m.shape[1] for _, m in held)
-            block = np.zeros((len(ids), terms), np.int64)
-            at = 0
-            for i, m in held:
-                block[at : at + len(i), : m.shape[1]] = m
-                at += len(i)
-            held.clear()
-            return best_of_block(query_ids, queries, ids, block, k)
+        best: dict[int, tuple] = {}
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
 
         for batch in batches:
-            ids, block = batch.column("vec_id").to_numpy(), _matrix(batch.column("w"))
-            held.append((ids, block))
-            if sum(len(i) for i, _ in held) >= BLOCK:
-                best = merged(best, flush())
-        if held:
-            best = merged(best, flush())
-        if best is not None and len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best], ["query_id", "vec_id", "score"])
+            for r in range(batch.num_rows):
+                q = batch.column("q")[r].as_py()
+                asked = _unpack(batch.column("query_ids")[r], batch.column("query_kind")[r].as_py(), batch.column("queries")[r])
+                held = _unpack(batch.column("ids")[r], batch.column("kind")[r].as_py(), batch.column("weights")[r])
+                best[q] = _merged(best.pop(q, None), best_of_block(*asked, *held, k), k)
+                if len(best) > HELD:  # the query block seen longest ago; if it comes again, the merge by rank sees to it
+                    yield out(best.pop(next(iter(best))))
+        for found in best.values():
+            if len(found[0]):
+                yield out(found)
 
     return run
