@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from timberline.llm import fingerprints as P
 
 
@@ -38,7 +40,7 @@ def _check(got, rows):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(P, "RANGE_ROWS", 2)  # many ranges
+    monkeypatch.setattr(P, "LEAST_ROWS", 2)  # many ranges
     rng = random.Random(1)
     rows = []
     for i in range(200):
@@ -82,3 +84,29 @@ def test_densification_keeps_the_estimate_for_short_texts(spark):
     for i in range(60):
         errors.append(got[2 * i + 1]["near_next"] - _jaccard(text[2 * i + 1], text[2 * i]))
     assert abs(sum(errors) / len(errors)) < 0.06
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """No range holds more rows than MOST_ROWS in the mean, however large the table; heads by shuffle too."""
+    for rows in (1, 10**4, 10**6, 10**9, 10**11):
+        ranges = P.COARSE * P.parts_of(rows)
+        assert rows / ranges <= P.MOST_ROWS and ranges <= max(P.MANY, 2 * rows // P.MOST_ROWS, P.COARSE)
+    monkeypatch.setattr(P, "LEAST_ROWS", 1)
+    monkeypatch.setattr(P, "MOST_ROWS", 2)
+    monkeypatch.setattr(P, "MANY", 8)
+    rng = random.Random(4)
+    rows = [(rng.randrange(10**9) if i % 2 else i, " ".join(f"w{rng.randrange(40)}" for _ in range(30))) for i in range(300)]
+    _check(_run(spark, rows), rows)
+
+
+def test_least_id_and_long_text(spark):
+    """The least 64-bit id is an id, and comes before null ids; a text of 200,000 words is whole."""
+    low = -(1 << 63)
+    rows = [(low, "the least of all ids here"), ((1 << 63) - 1, "w " * 200_000 + "end"), (0, "zero")]
+    got = _run(spark, rows)
+    assert set(got) == {i for i, _ in rows}
+    _check(got, rows)
+    docs = spark.createDataFrame([*rows, (None, "a null id")], "doc_id long, text string").withColumn("k", F.lit(1)).withColumn("z", F.lit("z"))
+    after = {r["doc_id"]: r["edited_sha256"] for r in P.compare(docs).collect()}
+    assert after[low] == hashlib.sha256(_edited(rows[0][1], "a null id").encode()).hexdigest()
+    assert after[None] == hashlib.sha256(_edited("a null id", rows[1][1]).encode()).hexdigest()

@@ -23,8 +23,9 @@ WIDTH = 5
 BINS, BIN_BITS = 256, 8
 DIGIT_BITS = 4
 PROBES = 8
-# Documents that follow each other are found within ranges of ids: at most COARSE * FINE ranges.
-COARSE, FINE, RANGE_ROWS = 64, 64, 48
+# Documents that follow each other are found within ranges of ids: COARSE quantiles, each cut evenly into as many parts
+# as the rows ask for: LEAST_ROWS a range up to MANY ranges (small tables keep all tasks busy), never more than MOST_ROWS.
+COARSE, MANY, LEAST_ROWS, MOST_ROWS = 64, 4096, 48, 4096
 
 _rng = random.Random(77)
 _SEQUENCE = [_rng.randrange(BINS) for _ in range(PROBES * BINS)]
@@ -83,19 +84,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
-def with_next(docs: DataFrame, key: str, text: str, extra: list[str], add) -> DataFrame:
-    """docs (key long not null, text) with next_<column> for text and each of extra: of the next document by descending key.
+def parts_of(rows: int) -> int:
+    """Into how many parts each quantile is cut."""
+    return max(1, -(-max(min(rows // LEAST_ROWS, MANY), rows // MOST_ROWS) // COARSE))
 
-    ``add`` computes the extra columns. Ids are cut into ranges by quantiles and, inside, evenly; each range also gets the
-    first document of the range that follows, as a guest, so that one shuffle of the texts serves all. Only one row a
-    range (at most COARSE * FINE + 1) meets in one task.
+
+def with_next(docs: DataFrame, key: str, text: str, extra: list[str], add, tie: str) -> DataFrame:
+    """docs (key long not null, tie, text) with next_<column> for text and each of extra: of the next document by descending key.
+
+    Equal keys are in the order of ``tie``, then of the text. ``add`` computes the extra columns. Ids are cut into ranges
+    by quantiles and, inside, evenly; each range also gets the first document of the range that follows, as a guest, so
+    that one shuffle of the texts serves all. Only one row a range meets in one task. A repeated id is in one range.
     """
     counted = docs.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("hi")).first()
     n, hi = counted["n"], counted["hi"]
     if not n:
         return add(docs).withColumns({f"next_{c}": F.col(c) for c in [text, *extra]})
-    cuts = sorted({int(x) for x in docs.stat.approxQuantile(key, [i / COARSE for i in range(COARSE)], 0.002)})
-    fine = max(1, min(FINE, n // (COARSE * RANGE_ROWS)))
+    cuts = sorted({max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in docs.stat.approxQuantile(key, [i / COARSE for i in range(COARSE)], 0.002)})
+    fine = parts_of(n)
     lows, highs = _longs(cuts, "long"), _longs([*cuts[1:], max(hi, cuts[-1]) + 1 if hi < (1 << 63) - 1 else hi], "long")
     k = F.col(key)
     at = F.greatest(F.size(F.filter(lows, lambda x: x <= k)) - 1, F.lit(0))
@@ -104,17 +110,18 @@ def with_next(docs: DataFrame, key: str, text: str, extra: list[str], add) -> Da
     inside = F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1))
 
     def ranged(df: DataFrame) -> DataFrame:
-        return df.withColumn("_at", at).withColumn("_range", (F.col("_at") * FINE + inside).cast("int")).drop("_at")
+        return df.withColumn("_at", at).withColumn("_range", (F.col("_at") * F.lit(fine).cast("long") + inside).cast("long")).drop("_at")
 
     # one row a range
     one = Window.partitionBy(F.lit(1)).orderBy(F.desc("_range"))
     heads = ranged(docs.select(key)).groupBy("_range").agg(F.max(key).alias("top"))
     top = F.max_by("top", "_range").over(Window.partitionBy(F.lit(1)))
     heads = heads.select("_range", F.coalesce(F.lead("top").over(one), top).alias("top"))
-    guests = docs.join(F.broadcast(heads), k == F.col("top")).groupBy("_range", "top").agg(F.min(text).alias(text))
-    guests = guests.select("_range", F.col("top").alias(key), text)
-    both = add(ranged(docs).select("_range", key, text, F.lit(False).alias("_guest")).unionByName(guests.withColumn("_guest", F.lit(True))))
-    follow = Window.partitionBy("_range").orderBy("_guest", F.desc(key), text)
+    few = n <= MANY * MOST_ROWS  # so there are at most COARSE * (MANY / COARSE + 1) ranges
+    guests = docs.join(F.broadcast(heads) if few else heads, k == F.col("top")).groupBy("_range", "top").agg(F.min(F.struct(tie, text)).alias("_first"))
+    guests = guests.select("_range", F.col("top").alias(key), F.col("_first")[tie].alias(tie), F.col("_first")[text].alias(text))
+    both = add(ranged(docs).select("_range", key, tie, text, F.lit(False).alias("_guest")).unionByName(guests.withColumn("_guest", F.lit(True))))
+    follow = Window.partitionBy("_range").orderBy("_guest", F.desc(key), tie, text)
     return both.withColumns({f"next_{c}": F.lead(c).over(follow) for c in [text, *extra]}).filter("not _guest").drop("_range", "_guest")
 
 
@@ -127,11 +134,11 @@ def edited(text: Column, following: Column) -> Column:
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row a row of docs."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = with_next(rows, "k", "t", ["f"], lambda df: add_fingerprint(df, "t", "f"))
-    rows = rows.withColumn("e", edited(F.col("t"), F.col("next_t"))).select("k", F.length("t").cast("long").alias("n_chars"), "e", "f", "next_f")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(id_col).isNull().alias("z"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = with_next(rows, "k", "t", ["f"], lambda df: add_fingerprint(df, "t", "f"), "z")
+    rows = rows.withColumn("e", edited(F.col("t"), F.col("next_t"))).select("k", "z", F.length("t").cast("long").alias("n_chars"), "e", "f", "next_f")
     rows = add_fingerprint(rows, "e", "g")
     return rows.select(
-        F.when(F.col("k") != -(1 << 63), F.col("k")).alias(id_col), "n_chars", F.sha2("e", 256).alias("edited_sha256"), F.col("f").alias("fingerprint"), F.col("g").alias("edited_fingerprint"),
+        F.when(~F.col("z"), F.col("k")).alias(id_col), "n_chars", F.sha2("e", 256).alias("edited_sha256"), F.col("f").alias("fingerprint"), F.col("g").alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
     )
