@@ -66,3 +66,18 @@ def test_judge_uses_mined_rules(spark):
         assert got[i] == (rule[1] if rule else "block" if "spam" in u else "allow")
     assert got[len(URLS)] == "allow" and got[len(URLS) + 1] == "allow"  # a fixed rule wins
     assert U.judge(pages.limit(0), rules).count() == 0
+
+
+def test_rules_in_parts_long_urls_and_repeated_rows(spark, monkeypatch):
+    labelled = spark.createDataFrame([(u, "spam" in u) for u in URLS], "url string, bad boolean")
+    rules = U.mine(labelled, min_support=0.1, min_confidence=0.9)
+    long = "http://spam.example.com/" + "a/" * 20_000 + "?" + "&".join(f"k{i}={i}" for i in range(20_000))
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(7, URLS[7])] * 3 + [(None, URLS[1]), (None, URLS[0]), (900, long), (901, "http://" + "x" * 100_000), (902, "")]
+    pages = spark.createDataFrame([(*r, "r", 0.5, "v") for r in rows], "page_id long, url string, row string, confidence double, token string")
+    out = lambda: sorted(map(str, U.judge(pages, rules).collect()))
+    whole = out()
+    assert len(whole) == len(rows) and rules.count() > 1
+    got = {r["page_id"]: r["verdict"] for r in U.judge(pages, rules).collect()}
+    assert got[900] == "block" and got[901] == got[902] == "allow"
+    monkeypatch.setattr(U, "SEND_RULES", 1)
+    assert out() == whole

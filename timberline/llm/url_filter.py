@@ -5,6 +5,8 @@ keys, scheme). Spark's FP-growth mines the token combinations that are frequent
 itself as one more item. A combination is a rule if its support and its confidence (share of bad labels) are high
 enough, and if no combination with one token less is at least as confident. An inverted index holds each rule once,
 under its rarest token: a URL looks up its tokens and checks the found rules' other tokens. Built-in functions only.
+How many combinations there are to mine is bounded by their support alone: labelled URLs that share many tokens (long
+query strings) have very many frequent combinations.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no token, and is allowed; URLs that
 repeat get equal verdicts; rows with a null id are judged like others; without labelled URLs there is no mined rule.
@@ -21,6 +23,7 @@ from timberline.llm._shared import spill
 BAD = "label:bad"
 # (host, path, verdict); the longest that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+# Rules that are broadcast at a time.
 SEND_RULES = 100_000
 
 
@@ -92,19 +95,25 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
 
     Other columns, whatever their names, are left behind.
     """
-    url = F.col("u")
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"))
-    rows = rules.count()
-    if rows:
-        small = rows <= SEND_RULES
-        index = rules.select(F.col("rarest").alias("token"), "rule", "confidence")
-        seen = base.select("u").distinct().select("u", tokens_of(url).alias("tokens"))
-        found = seen.select("u", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index) if small else index, "token")
-        found = found.filter(F.size(F.array_except("rule", "tokens")) == 0).groupBy("u").agg(F.max("confidence").alias("confidence"))
-        base = base.join(found, "u", "left")
+    base = base.select("id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), tokens_of(F.col("u")).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    known = rules.count()
+    parts = -(-known // SEND_RULES)
+    if parts > 1:  # every part has to meet the same rows
+        base = spill(base, "urls")
+    # the inverted index, in parts of about SEND_RULES rules: each page looks up its tokens where it is read, and its
+    # findings meet under its own row number, so that no token, URL or host is a key of a shuffle
+    found = None
+    for part in range(parts):
+        index = rules.filter(F.pmod(F.xxhash64("rule"), F.lit(parts)) == part).select(F.col("rarest").alias("token"), "rule", "confidence")
+        seen = base.withColumn("token", F.explode_outer("tokens")).join(F.broadcast(index), "token", "inner" if part else "left")
+        fits = F.when(F.size(F.array_except("rule", "tokens")) == 0, F.col("confidence"))
+        seen = seen.select("row", "id", "host", "path", fits.alias("confidence"))
+        found = seen if found is None else found.unionByName(seen)
+    if found is None:
+        found = base.withColumn("confidence", F.lit(None).cast("double"))
     else:
-        base = base.withColumn("confidence", F.lit(None).cast("double"))
-    base = base.withColumns({"host": host_of(url), "path": path_of(url)})
+        found = found.groupBy("row", "id", "host", "path").agg(F.max("confidence").alias("confidence"))
     text, verdict = fixed_rule(F.col("host"), F.col("path"), fixed)
     mined = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return base.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "confidence")
+    return found.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "confidence")
