@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+from timberline.llm import _shared
 from timberline.llm import line_dedup as D
 
 
@@ -48,6 +49,25 @@ def test_real_documents(spark, sf):
     assert sorted(_run(spark, rows, min_sites=3), key=_key) == sorted(_brute(rows, 3), key=_key)
 
 
+def test_every_way_to_join(spark, monkeypatch):
+    """Findings by shuffle, and hot lines beside cold ones, give the same texts."""
+    line = "a line that every site carries along"
+    rows = [(i, f"own text of document number {i}\n{line}\nmore lines on some sites {i % 9}", f"s{i % 12}") for i in range(90)]
+    want = sorted(_brute(rows), key=_key)
+    for send, share in ((0, 200), (0, 3), (1 << 20, 3)):
+        monkeypatch.setattr(D, "SEND_BYTES", send)
+        monkeypatch.setattr(_shared, "HOT_SHARE", share)
+        assert sorted(_run(spark, rows), key=_key) == want
+
+
+def test_long_text_and_clashing_names(spark):
+    line = "the same long line on many sites here"
+    rows = [(i, "\n".join([f"line {j} of document {i} is its own" for j in range(20_000 if i == 3 else 2)] + [line]), f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x", "y") for r in rows], "doc_id long, text string, source string, h int, n int, first string, line string")
+    got = D.remove(docs, D.boilerplate(docs))
+    assert got.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=_key) == sorted(_brute(rows), key=_key)
+
+
 def test_empty(spark):
     assert _run(spark, []) == []
 

@@ -23,7 +23,8 @@ from timberline.llm._shared import join_unique, spill
 LG_K = 12
 # Three standard errors of the sketch's estimate, relative.
 MARGIN = 3 * 1.04 / 2 ** (LG_K / 2)
-SEND_POSITIONS = 1_000_000
+# What is broadcast of the findings at most: 64 bytes a document with any and 4 a line.
+SEND_BYTES = 64 << 20
 
 
 def _key(line: Column) -> Column:
@@ -61,8 +62,7 @@ def remove(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col:
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hits = join_unique(cut, lines, ["h"], "n", max(1, total)).filter(F.col("__tl_id") != F.col("first"))
     hits = spill(hits.groupBy("__tl_id", "__tl_text").agg(F.collect_set("__tl_pos").alias("__tl_out")), "hits")
-    size = hits.agg(F.coalesce(F.sum(F.size("__tl_out")), F.lit(0))).first()[0]
-    few = size <= SEND_POSITIONS  # 4 bytes a position, and a row is at least one
+    few = hits.agg(F.coalesce(F.sum(F.size("__tl_out") * 4 + 64), F.lit(0))).first()[0] <= SEND_BYTES
     on = (F.col(id_col) == F.col("__tl_id")) & (F.xxhash64(text_col) == F.col("__tl_text"))
     both = docs.join(F.broadcast(hits) if few else hits, on, "left")
     parts = F.split(text_col, "\n")
