@@ -147,8 +147,9 @@ def test_against_brute_force(spark):
 
 
 def test_large_family_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(M, "MEMBER_BLOCK", 16)
-    monkeypatch.setattr(M, "MINOR_BLOCK", 8)
+    monkeypatch.setattr(M, "SAMPLE_BLOCK", 32)
+    monkeypatch.setattr(M, "TEXT_BLOCK", 16)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 20_000)
     rng = random.Random(7)
     base = _words(rng, 150)
     rows = [(i, _family(rng, base, rng.randrange(0, 14))) for i in range(150)]

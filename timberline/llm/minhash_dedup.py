@@ -15,13 +15,14 @@ Steps:
 2. Texts that agree on all samples of a band share a bucket. Each text is verified against its bucket's first text: the
    weighted Jaccard similarity of the whole texts, from all their shingles, must reach ``threshold``.
 3. Connected components are found by alternating large-star and small-star steps.
-4. A bucket whose texts are still in several components is taken up again: the samples (not the texts) of its texts
-   outside the largest component meet those of all its texts, in blocks of bounded size. Pairs of different components
-   whose share of equal samples is at least ``sample_floor`` (5.5 standard deviations below the threshold), and that
-   share no earlier band, are candidates. They are verified as in step 2, of each text and component the likeliest
-   first, eight times as many each round, until the two are linked or all their pairs are done. Then components are found
-   anew. So a link within a bucket is either verified, or lies within a component, or its samples rule it out; no bucket
-   is capped, and no pair leaves a block but one that its samples say may be a link.
+4. A bucket whose texts are still in several components is taken up again: its texts outside the largest component meet
+   all its texts, in blocks of bounded size. Pairs of different components whose share of equal samples is at least
+   ``sample_floor`` (5.5 standard deviations below the threshold), and that share no earlier band, are candidates. Blocks
+   first hold samples alone; only texts that are in a candidate pair go on to blocks with texts, where candidates are
+   verified as in step 2, of each text and component the likeliest first, until the two are linked or all their pairs are
+   done. Then components are found anew. So a link within a bucket is either verified, or lies within a component, or its
+   samples rule it out; no bucket is capped, and no pair leaves a block but a verified link. What remains is the square of
+   the texts of a bucket that are nearly, but not quite, alike: their samples, and what may be a link, are all compared.
 
 Defined results: a null text counts as empty; all texts without a word that are equal are one class, as equal texts are;
 rows that repeat an id and a text are one document; a row with a null id has a null class; an empty table gives no rows.
@@ -30,18 +31,17 @@ Of an id with several texts, each text is compared and the id gets the smallest
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm._shared import HASH_BITS, bound_batches, chunks, drop, join_unique, mix, shingles, spill, text_buffer
 
 WIDTH = 5
-# Texts of a block; what is sent of each is its samples.
-MEMBER_BLOCK, MINOR_BLOCK = 1024, 512
+# Rows of a block of samples, and of texts, which are about BLOCK_BYTES long together.
+SAMPLE_BLOCK, TEXT_BLOCK = 1024, 128
+BLOCK_BYTES = 1 << 20
 # Rows of ids (8 bytes each) that are broadcast at most.
 SEND_ROWS = 1_000_000
 
@@ -176,8 +176,8 @@ def _sign(weights, samples: int, rows: int):
                 full[i + some] = True
             offsets = np.concatenate([[0], np.cumsum(np.where(full, bands.shape[1], 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("g"), pa.ListArray.from_arrays(offsets, pa.array(bands[full].ravel())), pa.array([r.tobytes() for r in short], pa.binary())],
-                ["id", "g", "bands", "samples"],
+                [batch.column("id"), batch.column("g"), pa.ListArray.from_arrays(offsets, pa.array(bands[full].ravel())), pa.array([r.tobytes() for r in short], pa.binary()), pa.array(np.diff(at))],
+                ["id", "g", "bands", "samples", "bytes"],
             )
 
     return run
@@ -263,11 +263,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _cell(column: pa.Array, r: int, samples: int):
-    """The ids, labels and samples of one block."""
+    """The ids, labels and samples of one block, and its texts, if it has them."""
     a, b = column.offsets[r].as_py(), column.offsets[r + 1].as_py()
     part = column.values.slice(a, b - a)
     bits = np.frombuffer(b"".join(part.field("samples").to_pylist()), np.uint16).reshape(b - a, samples)
-    return part.field("id").to_numpy(), part.field("label").to_numpy(), bits
+    texts = part.field("t") if part.type.get_field_index("t") >= 0 else None
+    return part.field("id").to_numpy(), part.field("label").to_numpy(), bits, texts
 
 
 def _likely_pairs(sa, sb, la, lb, band: int, rows: int, floor: float):
@@ -285,55 +286,94 @@ def _likely_pairs(sa, sb, la, lb, band: int, rows: int, floor: float):
     return x, y, equal[x, y]
 
 
-def _candidates(samples: int, rows: int, floor: float):
+def _pairs_of_cells(batch: pa.RecordBatch, samples: int, rows: int, floor: float):
+    """Of each cell: the two blocks, and the candidate pairs' places in them with their number of equal samples."""
+    for r in range(batch.num_rows):
+        minors, members = (_cell(batch.column(c), r, samples) for c in ("minors", "members"))
+        found = []
+        for at in range(0, len(members[0]), 128):
+            x, y, equal = _likely_pairs(minors[2], members[2][at : at + 128], minors[1], members[1][at : at + 128], batch.column("band")[r].as_py(), rows, floor)
+            # of two texts outside the largest component each meets the other: once will do
+            once = (members[1][y + at] == batch.column("main")[r].as_py()) | (minors[0][x] > members[0][y + at])
+            found.append((x[once], y[once] + at, equal[once]))
+        yield batch.column("bucket")[r].as_py(), minors, members, *(np.concatenate(c) for c in zip(*found))
+
+
+def _with_candidates(samples: int, rows: int, floor: float):
+    """The texts of each cell that are in a candidate pair."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, minors, members, x, y, _ in _pairs_of_cells(batch, samples, rows, floor):
+                ids = np.union1d(minors[0][x], members[0][y])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket)), pa.array(ids)], ["bucket", "id"])
+
+    return run
+
+
+def _links(samples: int, rows: int, floor: float, threshold: float, weights):
+    """The verified links of each cell, one of each text and component."""
+
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                (ia, la, sa), (ib, lb, sb) = (_cell(batch.column(c), r, samples) for c in ("minors", "members"))
-                band, main = batch.column("band")[r].as_py(), batch.column("main")[r].as_py()
-                for at in range(0, len(ib), 128):
-                    x, y, equal = _likely_pairs(sa, sb[at : at + 128], la, lb[at : at + 128], band, rows, floor)
-                    y = y + at
-                    # of two texts outside the largest component each meets the other: once will do
-                    once = (lb[y] == main) | (ia[x] > ib[y])
-                    x, y, equal = x[once], y[once], equal[once]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(ia[x]), pa.array(ib[y]), pa.array(lb[y]), pa.array(equal.astype(np.int32))], ["a", "b", "goal", "equal"])
+            for _, (ia, _, _, ta), (ib, lb, _, tb), x, y, equal in _pairs_of_cells(batch, samples, rows, floor):
+                goal = np.unique(np.stack([x, lb[y]]), axis=1, return_inverse=True)[1].ravel() if len(x) else x
+                order = np.lexsort((-equal, goal))
+                x, y, goal = x[order], y[order], goal[order]
+                while len(x):  # of each text and component the likeliest pairs, until it is linked
+                    now = np.arange(len(goal)) - np.searchsorted(goal, goal) < 8
+                    sim = weighted_jaccard(ta.take(pa.array(x[now])), tb.take(pa.array(y[now])), weights.value)
+                    hit = np.flatnonzero(sim >= threshold)
+                    _, one = np.unique(goal[now][hit], return_index=True)
+                    a, b = ia[x[now][hit[one]]], ib[y[now][hit[one]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                    rest = ~now & ~np.isin(goal, goal[now][hit])
+                    x, y, goal = x[rest], y[rest], goal[rest]
 
     return run
 
 
-def _link_open(labelled: DataFrame, unique: DataFrame, texts: DataFrame, weights, threshold: float, samples: int, rows: int, floor: float, total: int) -> DataFrame:
-    """Verified links (a, b) between the components that meet in a bucket. Spilled. labelled: bucket, band, id, label."""
-    per = labelled.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
-    blocks_of = lambda n, most: F.ceil(n / F.lit(most)).cast("int")
-    mixed = per.filter("top < n").select("bucket", "main", "n", blocks_of(F.col("n") - F.col("top"), MINOR_BLOCK).alias("parts"), blocks_of(F.col("n"), MEMBER_BLOCK).alias("blocks"))
+def _in_cells(members: DataFrame, full: DataFrame, what: list[str], block: int, bytes_: int | None, total: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Cells (bucket, band, main, minors, members) of the buckets with several labels; and what to drop after their use.
+
+    members: bucket, band, id, label, bytes. full: id and the columns ``what``. Every text outside the label that most
+    have, the main one, meets every text of its bucket in one cell. A block has at most about ``block`` rows and bytes_.
+    """
+    per = members.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    per = per.groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"),
+        F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", "label")).alias("top_bytes"),
+    )
+    blocks_of = lambda n, most, size: F.ceil(F.greatest(n / F.lit(most), size / F.lit(bytes_) if bytes_ else F.lit(0.0))).cast("int")
+    mixed = per.filter("top < n").select(
+        "bucket", "main", "n", blocks_of(F.col("n") - F.col("top"), block // 2, F.col("bytes") - F.col("top_bytes")).alias("parts"), blocks_of(F.col("n"), block, F.col("bytes")).alias("blocks"),
+    )
     mixed = spill(mixed, "mixed")
-    members = spill(join_unique(labelled, mixed, ["bucket"], "n", total), "open")
-    full = members.join(unique.select("id", "samples").dropDuplicates(["id", "samples"]), "id").withColumn("spot", F.xxhash64(F.lit(3), "id"))
-    cell, at = F.struct("id", "label", "samples"), ["bucket", "band", "main", "part", "block"]
-    minors = full.filter("label <> main").withColumn("part", F.pmod("spot", "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    others = full.withColumn("block", F.pmod("spot", "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    open_ = spill(join_unique(members.drop("bytes"), mixed, ["bucket"], "n", total), "open")
+    rows = open_.join(full, "id").withColumn("spot", F.xxhash64(F.lit(3), "id"))
+    cell, at = F.struct("id", "label", *what), ["bucket", "band", "main", "part", "block"]
+    minors = rows.filter("label <> main").withColumn("part", F.pmod("spot", "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = rows.withColumn("block", F.pmod("spot", "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     minors = minors.groupBy(*at).agg(F.collect_list(cell).alias("minors"))
     others = others.groupBy(*at).agg(F.collect_list(cell).alias("members"))
-    pairs = minors.join(others, at).select("band", "main", "minors", "members").mapInArrow(_candidates(samples, rows, floor), "a long, b long, goal long, equal int")
-    turn = F.row_number().over(Window.partitionBy("a", "goal").orderBy(F.desc("equal"), "b"))
-    pairs = spill(pairs.withColumn("turn", turn), "candidates")
-    drop(members, mixed)
-    most = pairs.agg(F.max("turn")).first()[0] or 0
-    done, low, high = [], 0, 4
-    while low < most:
-        now = pairs.filter((F.col("turn") > low) & (F.col("turn") <= high))
-        for links in done:
-            linked = links.join(pairs.select("a", "b", "goal"), ["a", "b"]).select("a", "goal").distinct()
-            now = now.join(linked, ["a", "goal"], "left_anti")
-        now = spill(now.select("a", "b"), "pairs")
-        done.append(_verify(now, texts, weights, threshold))
-        drop(now)
-        low, high = high, high * 8
-    none = labelled.sparkSession.createDataFrame([], "a long, b long")
-    return reduce(DataFrame.union, done, none)
+    return minors.join(others, at).select("bucket", "band", "main", "minors", "members"), [mixed, open_]
+
+
+def _link_open(members: DataFrame, unique: DataFrame, texts: DataFrame, weights, threshold: float, samples: int, rows: int, floor: float, total: int) -> DataFrame:
+    """Verified links (a, b) between the components that meet in a bucket. Spilled. members: bucket, band, id, label, bytes."""
+    signs = unique.select("id", "g", "samples")
+    cells, used = _in_cells(members, signs.select("id", "samples"), ["samples"], SAMPLE_BLOCK, None, total)
+    found = spill(cells.mapInArrow(_with_candidates(samples, rows, floor), "bucket long, id long").distinct(), "candidates")
+    drop(*used)
+    needed = spill(found.select("id").distinct(), "needed")
+    few = needed.count() <= SEND_ROWS
+    mine = texts.join(F.broadcast(needed) if few else needed, "id", "left_semi").withColumn("g", F.unhex(F.sha2("t", 256))).dropDuplicates(["id", "g"])
+    full = signs.join(mine, ["id", "g"]).select("id", "samples", "t")
+    members = spill(members.join(found, ["bucket", "id"], "left_semi"), "members")
+    cells, used = _in_cells(members, full, ["samples", "t"], TEXT_BLOCK, BLOCK_BYTES, total)
+    out = spill(cells.mapInArrow(_links(samples, rows, floor, threshold, weights), "a long, b long"), "edges")
+    drop(found, needed, members, *used)
+    return out
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
@@ -352,14 +392,14 @@ def classes(
     weights = spark.sparkContext.broadcast(Weights(total, counts, smooth))  # of fixed size
 
     signed = texts.select("id", "t", F.unhex(F.sha2("t", 256)).alias("g"))
-    signed = spill(signed.mapInArrow(_sign(weights, samples, rows), "id long, g binary, bands array<long>, samples binary"), "samples")
+    signed = spill(signed.mapInArrow(_sign(weights, samples, rows), "id long, g binary, bands array<long>, samples binary, bytes long"), "samples")
     # equal texts: one id each
     same = spill(signed.groupBy("g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "same")
     owner = spill(join_unique(signed.select("id", "g"), same, ["g"], "n", total).groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n")), "owner")
     # an id with several texts can stand for several: its texts are compared under its id, one at a time
-    unique = spill(signed.join(same.select("g", F.col("rep").alias("id")), ["g", "id"], "left_semi").dropDuplicates(["g", "id"]).select("id", "g", "bands", "samples"), "unique")
+    unique = spill(signed.join(same.select("g", F.col("rep").alias("id")), ["g", "id"], "left_semi").dropDuplicates(["g", "id"]).select("id", "g", "bands", "samples", "bytes"), "unique")
     drop(signed, same)
-    in_band = unique.select("id", F.posexplode("bands").alias("band", "h")).select("id", "band", F.xxhash64("band", "h").alias("bucket"))
+    in_band = unique.select("id", "bytes", F.posexplode("bands").alias("band", "h")).select("id", "bytes", "band", F.xxhash64("band", "h").alias("bucket"))
     groups = spill(in_band.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     all_bands = max(1, total * bands)
     members = spill(join_unique(in_band, groups, ["bucket"], "n", all_bands), "members")
@@ -374,7 +414,7 @@ def classes(
     # buckets that still hold several components
     sizes = spill(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     own = sizes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n")
-    labelled = spill(join_unique(members.select("bucket", "band", "id"), own, ["id"], "n", all_bands), "members")
+    labelled = spill(join_unique(members.select("bucket", "band", "id", "bytes"), own, ["id"], "n", all_bands), "members")
     drop(members, sizes, label)
     more = _link_open(labelled, unique, texts, weights, threshold, samples, rows, sample_floor, all_bands)
     final = spill(components(links.union(more)), "labels")
