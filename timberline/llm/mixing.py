@@ -76,7 +76,7 @@ def schedule(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, repeats: i
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(F.concat(F.lit("a"), source), F.lit("b")).alias("s"),
         words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("spot"),
     )
-    rows, _ = running(rows, ["s", "spot", "id", "text_key"], {"end": F.col("size")}, "sizes")
+    rows, _ = running(spill(rows, "sizes"), ["s", "spot", "id", "text_key"], {"end": F.col("size")}, "sizes")
     rows = spill(rows.drop("__tl_range"), "ends")
     sizes = rows.groupBy("s").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(sizes, weights, budget, repeats)
