@@ -12,10 +12,24 @@ from timberline.streaming import folds
 KEYS = ("ts", "line_no")
 
 
-@pytest.fixture(params=["one range", "many ranges"])
+@pytest.fixture(params=["one range", "many ranges", "evenly cut ranges"])
 def ranges(request, monkeypatch):
-    if request.param == "many ranges":
+    if request.param != "one range":
         monkeypatch.setattr(ordered, "RANGE_ROWS", 20)
+    if request.param == "evenly cut ranges":
+        monkeypatch.setattr(ordered, "QUANTILES", 5)
+        monkeypatch.setattr(ordered, "GROUP", 2)
+        monkeypatch.setattr(ordered, "SEND_RANGES", 3)
+
+
+def test_ranges_are_consecutive(spark, ranges):
+    """Every value has one range, ranges are in the order of the values, and hold RANGE_ROWS rows or so."""
+    df = spark.range(1000).selectExpr("cast(pow(id, 1.3) as long) as k").repartition(3)
+    cut = ordered.Ranges.of(df, F.col("k"))
+    got = sorted((r["k"], r["r"]) for r in df.select("k", cut.of_value(F.col("k")).alias("r")).collect())
+    assert [r for _, r in got] == sorted(r for _, r in got) and got[-1][1] < len(cut)
+    if cut.cuts:
+        assert len(cut) >= 40 and max(sum(r == x for _, r in got) for x in {r for _, r in got}) < 300
 
 
 def nos(df):

@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 from timberline.operators.ordered import Stream
 
 
-def merge_sorted(sources: Sequence[DataFrame | None], ts: str = "ts", tie: Sequence[str] = ("line_no",)) -> DataFrame:
-    """All rows with ``source_idx`` (the place of the source in the list), globally sorted by time, source, tie columns.
-
-    Missing sources are ignored; at least one is needed. The sort is by range over all partitions.
-    """
+def tagged(sources: Sequence[DataFrame | None]) -> DataFrame:
+    """All rows with ``source_idx`` (the place of the source in the list), in no order. Missing sources are ignored; at least one is needed."""
     some = [(i, s) for i, s in enumerate(sources) if s is not None]
     if not some:
         raise ValueError("no sources")
-    rows = reduce(DataFrame.unionByName, [s.withColumn("source_idx", F.lit(i)) for i, s in some])
-    return rows.orderBy(ts, "source_idx", *tie)
+    return reduce(DataFrame.unionByName, [s.withColumn("source_idx", F.lit(i)) for i, s in some])
+
+
+def merge_sorted(sources: Sequence[DataFrame | None], ts: str = "ts", tie: Sequence[str] = ("line_no",)) -> DataFrame:
+    """The tagged rows, globally sorted by time, source, tie columns. The sort is by range over all partitions."""
+    return tagged(sources).orderBy(ts, "source_idx", *tie)
 
 
 def merge_rank(df: DataFrame, keys: Sequence[str], out: str = "merge_rank") -> DataFrame:
-    """df with each row's place (from 1) in the merged order."""
+    """df with each row's place (from 1) in the order of the keys; df needn't be sorted."""
     return Stream(df, keys).position(out).df
 
 
@@ -35,12 +36,17 @@ def until_bad_line(df: DataFrame, good: str = "ts", order: str = "line_no", by:
     return df.join(first, by).filter(F.col("_bad").isNull() | (F.col(order) < F.col("_bad"))).drop("_bad")
 
 
-def multifile(df: DataFrame, on_bad_line: str = "stop", by: str = "source_idx", order: str = "line_no") -> DataFrame:
-    """The merged order of several files' parsed lines (bad lines kept with null ts). stop: a bad line ends its file; skip: it goes."""
+def good_lines(df: DataFrame, on_bad_line: str = "stop", by: str = "source_idx", order: str = "line_no") -> DataFrame:
+    """Several files' parsed lines without the bad ones (null ts). stop: a bad line ends its file; skip: it goes."""
     if on_bad_line not in ("stop", "skip"):
         raise ValueError(f"on_bad_line is stop or skip, not {on_bad_line!r}")
     rows = until_bad_line(df, order=order, by=by) if on_bad_line == "stop" else df
-    return rows.filter("ts is not null").orderBy("ts", by, order)
+    return rows.filter("ts is not null")
+
+
+def multifile(df: DataFrame, on_bad_line: str = "stop", by: str = "source_idx", order: str = "line_no") -> DataFrame:
+    """The good lines of several files in their merged order."""
+    return good_lines(df, on_bad_line, by, order).orderBy("ts", by, order)
 
 
 class Fanout:

@@ -38,20 +38,14 @@ def dedupe_runs(df: DataFrame, keys: Sequence[str] = ORDER, by: Sequence[str] =
 
     Column ``repeats`` is 0 for the first row and c for the copy. Null messages equal each other.
     """
-    s = Stream(df, keys, by).position_and_last(F.struct(F.col(message)), "_n", "_was")
+    s = Stream(df, keys, by).position_and_last(F.struct(F.col(message)), "_n", "_was", "_total")
     new = F.col("_was").isNull() | ~F.col("_was")[message].eqNullSafe(F.col(message))
-    # a run's length is the distance to the next run's head: only heads and the last row matter
-    heads = s._with(s._df.filter(new).drop("_was"))
-    order = Window.partitionBy(*by, "_range").orderBy("_n")
-    ends = s.df.groupBy(*by).agg(F.max("_n").alias("_end"))  # one row a stream
-    firsts = heads._df.groupBy(*by, "_range").agg(F.min("_n").alias("_f"))
-    later = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.select(*by, "_range", F.min("_f").over(later).alias("_next_range"))
-    rows = heads._join(firsts).withColumn("_next", F.coalesce(F.lead("_n").over(order), F.col("_next_range")))
-    rows = _with_stream_row(rows, ends, by)
-    rows = rows.withColumn("_c", F.coalesce(F.col("_next"), F.col("_end") + 1) - F.col("_n") - 1)
+    # a run's length is the distance to the next run's head, or to the stream's end
+    heads = s._with(s._df.filter(new).drop("_was")).next_of_ranges(F.col("_n"), "_later")
+    rows = heads._df.withColumn("_next", F.coalesce(F.lead("_n").over(heads.whole().orderBy("_n")), F.col("_later"), F.col("_total") + 1))
+    rows = rows.withColumn("_c", F.col("_next") - F.col("_n") - 1)
     kinds = F.when(F.col("_c") > 0, F.array(F.lit(0).cast("long"), F.col("_c"))).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.drop("_n", "_next", "_next_range", "_end", "_range").withColumn(repeats, F.explode(kinds)).drop("_c")
+    rows = rows.drop("_n", "_next", "_later", "_total", "_range").withColumn(repeats, F.explode(kinds)).drop("_c")
     text = F.concat(F.coalesce(message, F.lit("")), F.lit(" [repeated "), F.col(repeats).cast("string"), F.lit(" time(s)]"))
     return rows.withColumn(message, F.when(F.col(repeats) > 0, text).otherwise(F.col(message)))
 
@@ -87,12 +81,16 @@ def retain(df: DataFrame, seconds: float, keys: Sequence[str] = ("ts", "line_no"
     """
     if seconds <= 0:
         return df
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    s = Stream(df, keys, by).position("_n")
-    last = s.df.groupBy(*by).agg(F.max_by(at, F.col("_n")).alias("_now"))
-    rows = _with_stream_row(s.df, last, by)
-    fresh = at >= F.col("_now") - round(seconds * 1_000_000)
-    first = rows.groupBy(*by).agg(F.min(F.when(fresh, F.col("_n"))).alias("_first"))
+    at, width = F.unix_micros(F.col(ts).cast("timestamp")), round(seconds * 1_000_000)
+    s = Stream(df, keys, by)
+    if s.one:
+        rows = s._df.withColumns({"_n": F.row_number().over(s.inside()), "_now": F.last(at).over(s.inside().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+        first = F.min(F.when(at >= F.col("_now") - width, F.col("_n"))).over(s.whole())
+        return rows.withColumn("_first", first).filter("_n >= _first").drop("_now", "_first", "_n", "_range")
+    rows = s.position("_n").df
+    last = rows.groupBy(*by).agg(F.max_by(at, F.col("_n")).alias("_now"))
+    rows = _with_stream_row(rows, last, by)
+    first = rows.groupBy(*by).agg(F.min(F.when(at >= F.col("_now") - width, F.col("_n"))).alias("_first"))
     return _with_stream_row(rows, first, by).filter("_n >= _first").drop("_now", "_first", "_n")
 
 
@@ -104,10 +102,12 @@ def coalesce_events(df: DataFrame, max_lines: int = 0, keys: Sequence[str] = ORD
     """
     s = Stream(df, keys, by).running_sum(F.col(ts).isNotNull().cast("int"), "_event")
     rows = s.df
+    if max_lines > 0:  # what is dropped is dropped before lines are gathered
+        rows = rows.withColumn("_line", F.row_number().over(Window.partitionBy(*by, "_event").orderBy(*keys))).filter(F.col("_line") <= max_lines).drop("_line")
     body = F.struct(*keys, F.col(message).alias("_m"))
     rest = [c for c in df.columns if c not in (*by, message)]
     events = rows.groupBy(*by, "_event").agg(F.sort_array(F.collect_list(body)).alias("_lines"), F.min_by(F.struct(*rest), F.struct(*keys)).alias("_head"))
-    lines = F.slice("_lines", 1, max_lines) if max_lines > 0 else F.col("_lines")
+    lines = F.col("_lines")
     text = F.array_join(F.transform(lines, lambda x: F.coalesce(x["_m"], F.lit(""))), "\n")
     return events.select(*[F.col(b) for b in by], *[F.col("_head")[c].alias(c) for c in rest], text.alias(message)).select(*df.columns)
 

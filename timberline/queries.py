@@ -401,15 +401,15 @@ def split_bucket(spark, sf):
 def merge_sorted(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.lit(0).alias("line"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("timestamp").alias("ts"))
-    rows = combine.merge_rank(combine.merge_sorted([a, None, b], tie=("key", "line")).withColumn("source_idx", F.when(F.col("source_idx") == 2, 1).otherwise(F.col("source_idx"))), ("ts", "source_idx", "key", "line"))
+    both = combine.tagged([a, None, b]).withColumn("source_idx", F.least("source_idx", F.lit(1)))  # the missing source has a place too
+    rows = combine.merge_rank(both, ("ts", "source_idx", "key", "line"))
     return plain_time(rows.select("source_idx", "key", "line", "ts", "merge_rank"), "ts")
 
 
 @query("SELECT event_id, CAST(user_id % 4 AS INT) AS source_idx, row_number() OVER (ORDER BY ts, user_id % 4, event_id) AS merge_rank FROM l")
 def multifile_merge(spark, sf):
     rows = log_lines(spark, sf).withColumns({"source_idx": (F.col("user_id") % 4).cast("int"), "line_no": F.col("event_id")})
-    merged = combine.multifile(rows)
-    return combine.merge_rank(merged, ("ts", "source_idx", "event_id")).select("event_id", "source_idx", "merge_rank")
+    return combine.merge_rank(combine.good_lines(rows), ("ts", "source_idx", "event_id")).select("event_id", "source_idx", "merge_rank")
 
 
 @query("SELECT event_id, raw FROM l ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -427,7 +427,7 @@ _OFFSETS = f"o AS (SELECT *, row_number() OVER ({_O}) - 1 AS line_no, CAST(sum(s
 
 def _with_offsets(spark: SparkSession, sf: str) -> DataFrame:
     rows = log_lines(spark, sf)
-    s = Stream(rows, KEYS).position("_n").running_sum(F.octet_length("raw") + 1, "_end")
+    s = Stream(rows, KEYS).running_sums({"_n": F.lit(1), "_end": F.octet_length("raw") + 1})
     return s.df.withColumns({"line_no": F.col("_n") - 1, "byte_offset": F.col("_end") - F.octet_length("raw") - 1}).drop("_n", "_end")
 
 
