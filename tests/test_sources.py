@@ -2,12 +2,17 @@ import gzip
 import io
 import os
 import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from helpers import lines
 from pyspark.sql import functions as F
 
-from timberline.sources import logfile, sinks, stores
+from timberline.operators.detect import Rule
+from timberline.plans.indexed import IndexedLog
+from timberline.plans.logframe import LogFrame
+from timberline.sources import lines as lines_
+from timberline.sources import logfile, sinks, spots, stores
 from timberline.sources.lines import from_stdin, read_lines, source_sizes
 
 
@@ -51,6 +56,108 @@ def test_gzip_and_order(spark, tmp_path):
     assert source_sizes(spark, str(tmp_path / "c.log")).first()["bytes"] == 4
 
 
+def test_paths_patterns_and_folders(spark, tmp_path):
+    """Folders, patterns, odd names and repeated paths; source_idx is the place in the list."""
+    deep = tmp_path / "logs" / "2024"
+    deep.mkdir(parents=True)
+    (tmp_path / "logs" / "_skip").write_text("no\n")
+    names = ["a b+c%41.log", "b[1].log", "c{x}.log", "d.log.gz"]
+    for i, n in enumerate(names):
+        data = f"line of {i}\n".encode()
+        (deep / n).write_bytes(gzip.compress(data) if n.endswith("gz") else data)
+    (tmp_path / "logs" / "z*.log").write_text("star\n")
+    rows = lambda paths: sorted((r["source_idx"], r["line_no"], r["raw"]) for r in read_lines(spark, paths).collect())
+    assert rows(str(tmp_path / "logs")) == [(0, 0, "line of 0"), (1, 0, "line of 1"), (2, 0, "line of 2"), (3, 0, "line of 3"), (4, 0, "star")]
+    assert rows([str(tmp_path / "logs" / "z*"), str(deep / "*.gz"), str(deep)]) == [(0, 0, "star"), (1, 0, "line of 3"), (2, 0, "line of 0"), (3, 0, "line of 1"), (4, 0, "line of 2")]
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(300):
+        (many / f"{i:03d}.log").write_text(f"{i}\n")
+    assert rows(str(many / "*")) == [(i, 0, str(i)) for i in range(300)]
+    with pytest.raises(FileNotFoundError):
+        read_lines(spark, str(tmp_path / "none*"))
+
+
+def test_hidden_gzip_goes_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lines_, "BATCH_LINES", 7)
+    data = b"".join(b"line %d \xc3\xa9\r\n" % i for i in range(50)) + b"\nno end"
+    for n in (0, 7, 50):
+        (tmp_path / f"{n}.log").write_bytes(gzip.compress(b"".join(data.splitlines(True)[:n])))
+    (tmp_path / "whole.log").write_bytes(gzip.compress(data))
+    assert _got(read_lines(spark, str(tmp_path / "whole.log"))) == _expected(data)
+    assert read_lines(spark, [str(tmp_path / f"{n}.log") for n in (0, 7, 50)]).count() == 57
+
+
+def _timed(n, bad=()):
+    return b"".join(b"garbage %d\n" % i if i in bad else b"2024-01-15T%02d:%02d:%02dZ INFO number %d\n" % (i // 7200, i // 120 % 60, i // 2 % 60, i) for i in range(n))
+
+
+def test_tail_and_rewind_read_chunks(spark, tmp_path):
+    """The same lines whatever the chunk; a few chunks are read of a large file."""
+    data = _timed(20000)
+    (tmp_path / "a.log").write_bytes(data)
+    (tmp_path / "open.log").write_bytes(data + b"no newline")
+    (tmp_path / "empty.log").write_bytes(b"")
+    path, want = str(tmp_path / "a.log"), _expected(data)
+    pairs = lambda df: sorted((r["byte_offset"], r["raw"]) for r in df.collect())
+    for chunk in (16, 1000, 65536):
+        assert pairs(spots.tail(spark, path, 5, chunk)) == [x[1:] for x in want[-5:]]
+        for end in (want[100][1], want[100][1] + 1, want[100][1] - 1, 1):
+            assert pairs(spots.rewind(spark, path, end, 3, chunk)) == [x[1:] for x in want if x[1] < end][-3:]
+    assert pairs(spots.tail(spark, str(tmp_path / "open.log"), 2))[1][1] == "no newline"
+    assert pairs(spots.tail(spark, path, 10**6)) == [x[1:] for x in want] and pairs(spots.tail(spark, str(tmp_path / "empty.log"), 5)) == []
+    assert pairs(spots.rewind(spark, path, 10**9, 2)) == [x[1:] for x in want[-2:]] and pairs(spots.rewind(spark, path, 500, 0)) == []
+    file = spots.FileBytes(path)
+    spots.lines_before(file, file.size, 50, 4096)
+    assert file.taken <= 4096 < file.size / 100
+    with pytest.raises(ValueError):
+        spots.tail(spark, path, 0)
+
+
+@pytest.mark.parametrize("bad", [(), range(0, 20000, 3), range(4000, 16000)])
+def test_seek_reads_a_few_places(spark, tmp_path, bad):
+    data = _timed(20000, set(bad))
+    (tmp_path / "a.log").write_bytes(data)
+    path, lines = str(tmp_path / "a.log"), [(o, r) for _, o, r in _expected(data) if not r.startswith("garbage")]
+    for second in (0, 1, 4999, 9000, 9999, 10000):
+        target = datetime(2024, 1, 15, tzinfo=timezone.utc) + timedelta(seconds=second)
+        want = next((o for o, r in lines if r[:20] >= target.strftime("%Y-%m-%dT%H:%M:%SZ")), None)
+        file = spots.FileBytes(path)
+        assert spots.seek(spark, path, target, 512, file) == want
+        assert bad or file.taken < file.size / 10
+
+
+def test_indexed_log(spark, tmp_path):
+    """The index is built once, reading begins at its floor, and equal times across an entry are not lost."""
+    data = b"".join(b"2024-01-15T00:%02d:00Z INFO number %d\n" % (i // 40, i) for i in range(2000))
+    (tmp_path / "a.log").write_bytes(data)
+    log = IndexedLog(spark, str(tmp_path / "a.log"), every=100)
+    assert log.index() is log.index() and log.index().count() == 20
+    base = datetime(2024, 1, 15, tzinfo=timezone.utc)
+    for minute in (0, 2, 5, 49, 50):
+        got = sorted(r["message"] for r in log.since(base + timedelta(minutes=minute)).collect())
+        assert got == sorted(f"number {i}" for i in range(2000) if i // 40 >= minute)
+    got = log.since(base + timedelta(minutes=10), base + timedelta(minutes=12))
+    assert sorted(r["message"] for r in got.collect()) == sorted(f"number {i}" for i in range(400, 520))
+    frame = LogFrame.seek(spark, str(tmp_path / "a.log"), base + timedelta(minutes=49)).parse().mask(["number (19)"])
+    assert sorted(r["message"] for r in frame.df.collect()) == sorted(f"number [REDACTED]{i - 1900}" if i < 2000 else "" for i in range(1960, 2000))
+    assert LogFrame.seek(spark, str(tmp_path / "a.log"), base + timedelta(days=1)).df.count() == 0
+    assert LogFrame.last(spark, str(tmp_path / "a.log"), 3).parse().alerts([Rule("INFO", 3, timedelta(minutes=1))]).count() == 1
+    assert LogFrame.rewind(spark, str(tmp_path / "a.log"), 1, 5).df.count() == 1
+
+
+def test_a_batch_of_a_replaced_file_fails(tmp_path):
+    p = tmp_path / "a.log"
+    p.write_bytes(b"one\n")
+    s = logfile.FileStream(str(p), "begin")
+    part = s.partitions(s.initialOffset(), s.latestOffset())[0]
+    other = tmp_path / "b"
+    other.write_bytes(b"two\n")
+    os.replace(other, p)
+    with pytest.raises(OSError, match="replaced"):
+        list(s.read(part))
+
+
 def test_bad_reads(spark, tmp_path):
     (tmp_path / "a.log").write_text("x" * 100)
     with pytest.raises(ValueError):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from timberline.functions import text
 from timberline.functions.parse import parse_lines
-from timberline.operators import aggregate, events, filters, positions
-from timberline.sources import lines, sinks
+from timberline.operators import aggregate, detect, events, filters, positions
+from timberline.sources import lines, sinks, spots
+from timberline.streaming import follow
 
 
 class LogFrame:
@@ -21,6 +26,32 @@ class LogFrame:
     def read(cls, spark: SparkSession, paths: str | Sequence[str]) -> LogFrame:
         return cls(lines.read_lines(spark, paths))
 
+    @classmethod
+    def _at(cls, lines_: DataFrame) -> LogFrame:
+        """Lines that have offsets and no numbers: offsets order them."""
+        return cls(lines_.withColumn("line_no", F.col("byte_offset")))
+
+    @classmethod
+    def last(cls, spark: SparkSession, path: str, n: int) -> LogFrame:
+        """The last n raw lines of a file, of which only the end is read."""
+        return cls._at(spots.tail(spark, path, n))
+
+    @classmethod
+    def rewind(cls, spark: SparkSession, path: str, end: int, n: int) -> LogFrame:
+        """The last n raw lines before a byte offset, of which only the surroundings are read."""
+        return cls._at(spots.rewind(spark, path, end, n))
+
+    @classmethod
+    def seek(cls, spark: SparkSession, path: str, target: datetime) -> LogFrame:
+        """The raw lines of a file in order of time from the first at or after the target on."""
+        found = spots.seek(spark, path, target)
+        return cls._at(spots.lines_of(spark, path, os.path.getsize(path.removeprefix("file://")) if found is None else found))
+
+    @classmethod
+    def follow(cls, spark: SparkSession, path: str, start: str = "end") -> LogFrame:
+        """The parsed lines that are appended to a file, as a stream."""
+        return cls(follow.follow(spark, path, start))
+
     def _of(self, df: DataFrame) -> LogFrame:
         return LogFrame(df, self.keys, self.by)
 
@@ -49,6 +80,12 @@ class LogFrame:
     def tail(self, n: int) -> LogFrame:
         return self._of(positions.tail(self.df, n, [*self.by, *self.keys]))
 
+    def mask(self, patterns: Sequence[str], column: str = "message") -> LogFrame:
+        return self._of(self.df.withColumn(column, text.mask(F.col(column), patterns)))
+
+    def alerts(self, rules: Sequence[detect.Rule]) -> DataFrame:
+        return detect.alerts(self.df, rules, ("ts", *self.keys), self.by)
+
     def counts(self) -> DataFrame:
         return aggregate.level_counts(self.df)
 

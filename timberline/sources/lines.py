@@ -3,58 +3,101 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # gzip's first bytes, and the file names that say gzip.
 GZIP_MAGIC = b"\x1f\x8b"
 GZIP_NAMES = (".gz", ".gzip")
+# Lines of a batch that is inflated at a time, and files that are looked at at once.
+BATCH_LINES, LOOKERS = 10_000, 32
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def is_gzip(spark: SparkSession, path: str) -> bool:
     """By its first two bytes, through Spark's file system for that path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    p, fs = _file_system(spark, path)
+    stream = fs.open(p)
     try:
         return bytes(b & 0xFF for b in (stream.read(), stream.read())) == GZIP_MAGIC
     finally:
         stream.close()
 
 
+def list_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files that paths, patterns and folders (with what is below them) stand for; each once, in the order of the paths, then by name.
+
+    Names that begin with . or _ are left out inside folders. A path without any file raises FileNotFoundError.
+    """
+    out: dict[str, None] = {}
+    for path in paths:
+        p, fs = _file_system(spark, path)
+        found = fs.globStatus(p)
+        if not found:
+            raise FileNotFoundError(path)
+        todo, files = list(found), []
+        while todo:
+            f = todo.pop()
+            if f.isDirectory():
+                todo += [x for x in fs.listStatus(f.getPath()) if not x.getPath().getName().startswith((".", "_"))]
+            else:
+                files.append(f.getPath().toString())
+        if not files:
+            raise FileNotFoundError(f"no file in {path}")
+        out |= dict.fromkeys(sorted(files))
+    return list(out)
+
+
+def _plain(path: Column) -> Column:
+    """A file's path in one spelling: file:/x, file:///x and /x are the same."""
+    return F.regexp_replace(path, r"^(?:file:)?/+", "file:/")
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], max_line_bytes: int | None = None) -> DataFrame:
     """source, source_idx, line_no (from 0), byte_offset, raw (without CR at its end) of every line of the files.
 
-    Large files are read in blocks by many tasks: a block's lines and bytes are counted first, and the blocks before give
-    a line its number and offset. Offsets in compressed files are those of the uncompressed text. A line of
-    max_line_bytes or more raises. Files must not change meanwhile.
+    Paths may be patterns and folders; source_idx is a file's place in list_files(paths). Large files are read in blocks by
+    many tasks: a block's lines and bytes are counted first, and the blocks before give a line its number and offset.
+    Offsets in compressed files are those of the uncompressed text. A line of max_line_bytes or more raises. Files must
+    not change meanwhile.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no paths")
-    hidden = [p for p in paths if not p.lower().endswith(GZIP_NAMES) and is_gzip(spark, p)]
-    plain = [p for p in paths if p not in hidden]
-    out = _read_blocks(spark, plain) if plain else None
-    if hidden:
-        more = _read_hidden_gzip(spark, hidden)
-        out = more if out is None else out.unionByName(more)
-    order = F.lit(None).cast("int")
-    for i, p in enumerate(paths):
-        name = p if "://" in p or p.startswith("file:") else "file:" + ("" if p.startswith("/") else "/") + p
-        same = F.regexp_replace("source", r"^file:/+", "file:/") == F.regexp_replace(F.lit(name), r"^file:/+", "file:/")
-        order = F.when(same, i).otherwise(order) if "*" not in p else order
+    files = list_files(spark, paths)
+    unsaid = [p for p in files if not p.lower().endswith(GZIP_NAMES)]
+    with ThreadPoolExecutor(LOOKERS) as pool:
+        hidden = {p for p, yes in zip(unsaid, pool.map(lambda p: is_gzip(spark, p), unsaid)) if yes}
+    plain = [p for p in files if p not in hidden]
+    parts = ([_read_blocks(spark, plain)] if plain else []) + ([_read_hidden_gzip(spark, sorted(hidden))] if hidden else [])
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    numbers = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "_file string, source_idx int")  # a row a file
+    numbers = numbers.select(_plain(F.col("_file")).alias("_file"), "source_idx")
+    out = out.join(F.broadcast(numbers), _plain(F.col("source")) == F.col("_file"), "left")
     if max_line_bytes:
         fits = F.octet_length("raw") < max_line_bytes
         out = out.withColumn("raw", F.when(fits, F.col("raw")).otherwise(F.raise_error(F.lit("a line is too long")).cast("string")))
-    return out.select("source", order.alias("source_idx"), "line_no", "byte_offset", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
+    return out.select("source", "source_idx", "line_no", "byte_offset", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
+
+
+def _literal(path: str) -> str:
+    """A file's path as a pattern that matches it alone."""
+    return "".join("\\" + c if c in "\\{}[]*?" else c for c in path)
 
 
 def _read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    text = spark.read.option("lineSep", "\n").text(paths)
-    block = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block")]
+    text = spark.read.option("lineSep", "\n").text([_literal(p) for p in paths])
+    # the metadata's path is percent-encoded
+    block = [F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("source"), F.col("_metadata.file_block_start").alias("_block")]
     rows = text.select(*block, F.col("value").alias("raw"), F.monotonically_increasing_id().alias("_id"))
     sums = rows.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("raw") + 1).alias("_bytes"), F.min("_id").alias("_first"))
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
@@ -66,17 +109,22 @@ def _read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _read_hidden_gzip(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """gzip files whose name doesn't say so, one task a file."""
+    """gzip files whose name doesn't say so, one task a file; inflated as it goes, BATCH_LINES lines at a time."""
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                lines = gzip.decompress(content).split(b"\n")
-                lines = lines[:-1] if lines and not lines[-1] else lines
-                size = pd.Series([len(x) + 1 for x in lines], dtype="int64")
-                yield pd.DataFrame({"source": path, "line_no": range(len(lines)), "byte_offset": size.cumsum() - size, "raw": [x.decode("utf-8", "replace") for x in lines]})
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+                number, at, lines, starts = 0, 0, [], []
+                for line in gzip.GzipFile(fileobj=io.BytesIO(content)):
+                    lines.append(line.removesuffix(b"\n").decode("utf-8", "replace"))
+                    starts.append(at)
+                    at += len(line)
+                    if len(lines) == BATCH_LINES:
+                        yield pd.DataFrame({"source": path, "line_no": range(number, number + len(lines)), "byte_offset": starts, "raw": lines})
+                        number, lines, starts = number + len(lines), [], []
+                yield pd.DataFrame({"source": path, "line_no": range(number, number + len(lines)), "byte_offset": pd.Series(starts, dtype="int64"), "raw": pd.Series(lines, dtype=object)})
+
+    files = spark.read.format("binaryFile").load([_literal(p) for p in paths]).select("path", "content")
     return files.mapInPandas(run, "source string, line_no long, byte_offset long, raw string")
 
 

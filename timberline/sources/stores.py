@@ -105,7 +105,9 @@ class IndexCache:
 
     def put(self, key: str, size: int, mtime: float, payload: DataFrame) -> None:
         with self._lock:
-            self._data[key] = _Entry(size, mtime, self.clock(), payload)
+            was, self._data[key] = self._data.get(key), _Entry(size, mtime, self.clock(), payload)
+        if was is not None and was.payload is not payload:
+            was.payload.unpersist()
 
     def get(self, key: str, size: int, mtime: float) -> DataFrame | None:
         with self._lock:
