@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import gzip
 import os
+import shutil
+import socket
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.bindings import log_lines, plain_time, table
+from timberline.bindings import log_file, log_lines, plain_time, scratch, table
 from timberline.functions import maps, parse, text
 from timberline.operators import aggregate, combine, detect, events, filters, positions
 from timberline.operators.ordered import Stream
 from timberline.plans.config import Config
+from timberline.plans.indexed import IndexedLog
 from timberline.plans.pipeline import process, slice_lines
-from timberline.sources import lines
+from timberline.sources import lines, logfile, sinks, spots, stores
+from timberline.streaming import follow
 
 KEYS = ("ts", "event_id")
 SINCE, UNTIL = datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc)
@@ -74,9 +79,23 @@ _ORACLES["flagship"] = f"""WITH {_L} SELECT date_trunc('hour', ts) AS start, 0::
 # --- scans and parsing --------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, raw FROM l")
+_OFFSETS = f"o AS (SELECT *, row_number() OVER ({_O}) - 1 AS line_no, CAST(sum(strlen(raw) + 1) OVER ({_O} ROWS UNBOUNDED PRECEDING) AS BIGINT) - strlen(raw) - 1 AS byte_offset FROM l)"
+
+
+@query(f"WITH {_OFFSETS} SELECT line_no, byte_offset, raw FROM o")
 def scan_lines(spark, sf):
-    return log_lines(spark, sf).select("event_id", "raw")
+    return lines.read_lines(spark, log_file(spark, sf)).select("line_no", "byte_offset", "raw")
+
+
+@query(f"WITH {_OFFSETS} SELECT source_idx, line_no, byte_offset, raw FROM o, (SELECT unnest([0, 1, 2])::INT AS source_idx)")
+def scan_gzip(spark, sf):
+    """The log file, compressed under a name that says so, and under one that doesn't."""
+    path, folder = log_file(spark, sf), scratch(spark)
+    packed, hidden = f"{folder}/events.log.gz", f"{folder}/other.log"
+    with open(path, "rb") as plain, gzip.open(packed, "wb", 1) as out:
+        shutil.copyfileobj(plain, out, 1 << 20)
+    shutil.copyfile(packed, hidden)
+    return lines.read_lines(spark, [packed, path, hidden]).select("source_idx", "line_no", "byte_offset", "raw")
 
 
 @query("SELECT event_id, date_trunc('second', ts) AS ts, 'Z' AS tz_offset, severity, severity_rank, message FROM l")
@@ -136,9 +155,9 @@ def coalesce_events(spark, sf):
     return events.coalesce_events(rows, 0, ("turn", "message"), ("conv_id",)).select("conv_id", "message")
 
 
-@query()
+@query("SELECT CAST(sum(strlen(raw) + 1) AS BIGINT) AS bytes FROM l")
 def source_size(spark, sf):
-    return lines.source_sizes(spark, f"{sf}/events.parquet").select("bytes")
+    return lines.source_sizes(spark, log_file(spark, sf)).select("bytes")
 
 
 # --- filters ------------------------------------------------------------------------------------------------------
@@ -309,15 +328,21 @@ def enrich_static(spark, sf):
     return log_lines(spark, sf).select("event_id", *[fields[k].alias(k) for k in ("env", "region", "user")])
 
 
-@query()
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_ENV = "HOME" if "HOME" in os.environ else "PATH"
+
+
+@query(f"SELECT event_id, {_text(socket.gethostname())} AS host FROM l")
 def enrich_host(spark, sf):
     return log_lines(spark, sf).select("event_id", maps.enrich(F.lit(None).cast("map<string,string>"), maps.host())["host"].alias("host"))
 
 
-@query()
+@query(f"SELECT event_id, {_text(os.environ.get(_ENV, ''))} AS home FROM l")
 def enrich_env(spark, sf):
-    name = "HOME" if "HOME" in os.environ else "PATH"
-    return log_lines(spark, sf).select("event_id", maps.enrich(F.lit(None).cast("map<string,string>"), maps.env([name], {name: "home"}))["home"].alias("home"))
+    return log_lines(spark, sf).select("event_id", maps.enrich(F.lit(None).cast("map<string,string>"), maps.env([_ENV], {_ENV: "home"}))["home"].alias("home"))
 
 
 _COLOUR = "CASE WHEN severity_rank >= 4 THEN '[31m' WHEN severity_rank = 3 THEN '[33m' WHEN severity_rank = 2 THEN '[36m' ELSE '[37m' END"
@@ -412,9 +437,10 @@ def multifile_merge(spark, sf):
     return combine.merge_rank(combine.good_lines(rows), ("ts", "source_idx", "event_id")).select("event_id", "source_idx", "merge_rank")
 
 
-@query("SELECT event_id, raw FROM l ORDER BY ts DESC, event_id DESC LIMIT 50")
+@query(f"WITH {_OFFSETS} SELECT byte_offset, raw FROM o ORDER BY byte_offset DESC LIMIT 50")
 def tail_n(spark, sf):
-    return positions.tail(log_lines(spark, sf), 50, KEYS).select("event_id", "raw")
+    """The end of the log file is read, nothing else."""
+    return parse.parse_lines(spots.tail(spark, log_file(spark, sf), 50)).select("byte_offset", "raw")
 
 
 @query("SELECT event_id, raw FROM l WHERE severity_rank >= 4 ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -422,31 +448,42 @@ def tail_matching(spark, sf):
     return positions.tail_matching(filters.min_severity(log_lines(spark, sf), "ERROR"), 50, KEYS).select("event_id", "raw")
 
 
-_OFFSETS = f"o AS (SELECT *, row_number() OVER ({_O}) - 1 AS line_no, CAST(sum(strlen(raw) + 1) OVER ({_O} ROWS UNBOUNDED PRECEDING) AS BIGINT) - strlen(raw) - 1 AS byte_offset FROM l)"
-
-
 def _with_offsets(spark: SparkSession, sf: str) -> DataFrame:
     rows = log_lines(spark, sf)
     s = Stream(rows, KEYS).running_sums({"_n": F.lit(1), "_end": F.octet_length("raw") + 1})
     return s.df.withColumns({"line_no": F.col("_n") - 1, "byte_offset": F.col("_end") - F.octet_length("raw") - 1}).drop("_n", "_end")
 
 
-_MIDDLE = "(SELECT byte_offset FROM o WHERE event_id = (SELECT max(event_id) // 2 FROM l))"
-
-
-@query(f"WITH {_OFFSETS} SELECT event_id, byte_offset FROM o WHERE byte_offset < 500000 ORDER BY byte_offset DESC LIMIT 50")
+@query(f"WITH {_OFFSETS} SELECT byte_offset, raw FROM o WHERE byte_offset < 500000 ORDER BY byte_offset DESC LIMIT 50")
 def rewind_n(spark, sf):
-    return positions.rewind(_with_offsets(spark, sf), 500_000, 50).select("event_id", "byte_offset")
+    """Some chunks before the place are read, nothing else."""
+    return parse.parse_lines(spots.rewind(spark, log_file(spark, sf), 500_000, 50)).select("byte_offset", "raw")
 
 
-@query(f"WITH {_OFFSETS} SELECT event_id, byte_offset FROM o WHERE byte_offset >= 300000")
+@query(f"WITH {_OFFSETS} SELECT byte_offset, raw FROM o WHERE byte_offset >= (SELECT byte_offset FROM o WHERE line_no = (SELECT count(*) * 3 // 4 FROM l))")
 def scan_from_offset(spark, sf):
-    return positions.from_offset(_with_offsets(spark, sf), 300_000).select("event_id", "byte_offset")
+    """Reading begins at the offset of a line three quarters down the file."""
+    path = log_file(spark, sf)
+    down = log_lines(spark, sf).count() * 3 // 4
+    start = lines.read_lines(spark, path).filter(F.col("line_no") == down).first()["byte_offset"]
+    return spots.lines_of(spark, path, start).select("byte_offset", "raw")
+
+
+_NOON = datetime(2024, 1, 15, 12, tzinfo=timezone.utc)
+# The time of day of a line in a file has no fraction of a second.
+_AT_NOON = "date_trunc('second', ts) >= TIMESTAMP '2024-01-15 12:00:00'"
 
 
-@query(f"WITH {_OFFSETS} SELECT min(byte_offset) AS byte_offset FROM o WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'")
+@query(f"WITH {_OFFSETS} SELECT min(byte_offset) AS byte_offset FROM o WHERE {_AT_NOON}")
 def seek_to_time(spark, sf):
-    return positions.seek_to_time(_with_offsets(spark, sf), datetime(2024, 1, 15, 12, tzinfo=timezone.utc))
+    """A search that looks at a few places of the file."""
+    return spark.createDataFrame([(spots.seek(spark, log_file(spark, sf), _NOON),)], "byte_offset long")
+
+
+@query(f"WITH {_OFFSETS} SELECT byte_offset, raw FROM o WHERE {_AT_NOON}")
+def indexed_since(spark, sf):
+    """A sparse index of the file, its floor at a time, and the lines from there on."""
+    return IndexedLog(spark, log_file(spark, sf)).since(_NOON).select("byte_offset", "raw")
 
 
 _INDEX = f"""{_OFFSETS}, p AS (SELECT line_no, ts, byte_offset, max(ts) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o WHERE line_no % 500 = 0),
@@ -467,6 +504,99 @@ def time_index_floor(spark, sf):
     return plain_time(positions.floor_offset(index, targets), "target")
 
 
+# --- stores, streams and sinks over the log file ------------------------------------------------------------------
+
+_FILE_INDEX = _INDEX.replace("SELECT line_no, ts, byte_offset, max(ts)", "SELECT line_no, date_trunc('second', ts) AS ts, byte_offset, max(date_trunc('second', ts))")
+
+
+@query(f"WITH {_FILE_INDEX} SELECT line_no, ts, byte_offset, true AS cached FROM i")
+def index_cache(spark, sf):
+    """The index from the cache, when it is asked for again."""
+    log = IndexedLog(spark, log_file(spark, sf))
+    cached = log.index() is log.index()
+    return plain_time(log.index().select("line_no", "ts", "byte_offset", F.lit(cached).alias("cached")), "ts")
+
+
+_PARSED = "byte_offset, date_trunc('second', ts) AS ts, severity, message"
+
+
+@query(f"WITH {_OFFSETS} SELECT {_PARSED} FROM o")
+def follow_stream(spark, sf):
+    """The file as a stream that is followed from its begin until all there is has come."""
+    folder = scratch(spark)
+    stream = follow.follow(spark, log_file(spark, sf), start="begin").select("byte_offset", "ts", "severity", "message")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(once=True).start().awaitTermination()
+    return plain_time(spark.read.parquet(f"{folder}/out"), "ts")
+
+
+@query("SELECT * FROM (VALUES (0, 'same', false), (1, 'longer', false), (2, 'cut', true), (3, 'same', false), (4, 'replaced', true)) AS t(step, change, rotated)", raw_sql=True)
+def rotation_detect(spark, sf):
+    """What the watch says after each change to a copy of the file."""
+    path = shutil.copyfile(log_file(spark, sf), f"{scratch(spark)}/copy.log")
+    watch, out = logfile.Watch(path), []
+
+    def longer():
+        with open(path, "ab") as f:
+            f.write(b"one line more\n")
+
+    def replaced():
+        os.replace(shutil.copyfile(log_file(spark, sf), path + ".new"), path)
+
+    changes = [("same", lambda: None), ("longer", longer), ("cut", lambda: os.truncate(path, 10)), ("same", lambda: None), ("replaced", replaced)]
+    for i, (name, change) in enumerate(changes):
+        change()
+        out.append((i, name, watch.rotated()))
+    return spark.createDataFrame(out, "step int, change string, rotated boolean")
+
+
+_HALF = "(SELECT byte_offset FROM o WHERE line_no = (SELECT count(*) // 2 FROM l))"
+
+
+@query(f"WITH {_OFFSETS} SELECT byte_offset, raw, CASE WHEN byte_offset < {_HALF} THEN 1 ELSE 2 END AS run FROM o")
+def checkpoint_resume(spark, sf):
+    """Half of the file is there at the first run, all of it at the second, which goes on where the first one stopped."""
+    folder, path = scratch(spark), log_file(spark, sf)
+    half = lines.read_lines(spark, path).filter(F.col("line_no") == log_lines(spark, sf).count() // 2).first()["byte_offset"]
+    copy, store, out = f"{folder}/growing.log", stores.CheckpointStore(f"{folder}/checkpoints"), None
+    for run, size in ((1, half), (2, os.path.getsize(path))):
+        with open(path, "rb") as whole, open(copy, "ab") as f:
+            whole.seek(f.tell())
+            f.write(whole.read(size - f.tell()))
+        was = store.load(copy)
+        begin = was.offset if was else 0
+        rows = spots.lines_of(spark, copy, begin, size).select("byte_offset", "raw", F.lit(run).alias("run"))
+        out = rows if out is None else out.unionByName(rows)
+        store.save(stores.Checkpoint(copy, size))
+    return out
+
+
+@query("SELECT severity AS key, CAST(sum(strlen(raw) + 1) AS BIGINT) AS offset, CAST(sum(strlen(raw) + 1) AS BIGINT) AS file_size FROM l GROUP BY severity")
+def offset_store(spark, sf):
+    """How far each severity's own file was read, from the store, opened anew."""
+    path = f"{scratch(spark)}/offsets.json"
+    per = log_lines(spark, sf).groupBy("severity").agg(F.sum(F.octet_length("raw") + 1).alias("n")).collect()  # a row a severity
+    store = stores.OffsetStore(path)
+    for r in per:
+        store.put(r["severity"], r["n"], r["n"])
+    again = stores.OffsetStore(path)
+    return spark.createDataFrame([(r["severity"], *again.get(r["severity"])) for r in per], "key string, offset long, file_size long")
+
+
+@query("""SELECT 'raw' AS sink, raw AS value, 1::BIGINT AS failed FROM l WHERE severity_rank >= 4 UNION ALL
+  SELECT 'json', '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","severity":"' || severity || '","message":"' || message || '"}', 1 FROM l WHERE severity_rank >= 4""")
+def fanout_sinks(spark, sf):
+    """Text and JSON sinks beside one that fails: what the others have written, and how many failed."""
+    folder = f"file://{scratch(spark)}"
+
+    def broken(_):
+        raise OSError("no space left")
+
+    fan = combine.Fanout(lambda df: sinks.write_text(df, f"{folder}/raw"), broken, lambda df: sinks.write_text(df, f"{folder}/json", "json"))
+    failed = fan.send(filters.min_severity(log_lines(spark, sf), "ERROR"))
+    both = spark.read.text(f"{folder}/raw").withColumn("sink", F.lit("raw")).unionByName(spark.read.text(f"{folder}/json").withColumn("sink", F.lit("json")))
+    return both.select("sink", "value", F.lit(len(failed)).cast("long").alias("failed"))
+
+
 # --- the whole pipeline -------------------------------------------------------------------------------------------
 
 _CUT = "CASE WHEN strlen(raw) <= 60 THEN raw ELSE substr(raw, 1, 57) || '...' END"
