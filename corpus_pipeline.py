@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import language_id, line_dedup, minhash_dedup, mixing, packing
-from timberline.llm._shared import shared_dir
+from timberline.llm._shared import delete, shared_dir, write
 from timberline.llm.defaults import TOKENIZER, held_out
 
 
@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies all stages to the documents table. What a stage wrote is deleted once the next one stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
