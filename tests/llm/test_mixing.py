@@ -40,8 +40,8 @@ def _offers(rows, repeats=2):
     return docs, sizes, sorted(out)
 
 
-def _brute(rows, budget=1.5):
-    """Serves copy after copy until the budget is reached."""
+def _served(rows, budget=1.5):
+    """Serves copy after copy until the budget is reached: id, size, source size, target and words taken of each row."""
     docs, sizes, offers = _offers(rows)
     target, taken, upto = _targets(sizes), defaultdict(int), 0
     for _, _, _, n, k in offers:
@@ -49,7 +49,11 @@ def _brute(rows, budget=1.5):
         if upto - n / 2 > budget * sum(sizes.values()):
             break
         taken[k] += n
-    return sorted([(i, n, sizes[s], round(target[s], 3), taken[k]) for k, (i, s, n) in enumerate(docs)], key=str)
+    return [(i, n, sizes[s], round(target[s], 3), taken[k]) for k, (i, s, n) in enumerate(docs)]
+
+
+def _brute(rows):
+    return sorted(_served(rows), key=str)
 
 
 def _run(spark, rows):

@@ -87,6 +87,17 @@ _BASE32 = (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_dedup": r"""
+            WITH x AS (SELECT doc_id, source, i AS pos, string_split(text, chr(10))[CAST(i AS INT)] AS line
+                       FROM documents, range(1, 1 + (SELECT max(len(string_split(text, chr(10)))) FROM documents)) AS r(i)
+                       WHERE i <= len(string_split(text, chr(10)))),
+                 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM x),
+                 b AS (SELECT key, min(doc_id) AS first FROM k WHERE key <> '' GROUP BY key
+                       HAVING count(DISTINCT coalesce('s' || source, 'n')) >= CASE WHEN length(key) < 20 THEN 10 ELSE 5 END),
+                 m AS (SELECT k.*, coalesce(k.doc_id <> b.first, false) AS out FROM k LEFT JOIN b ON k.key = b.key AND k.key <> '')
+            SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (NOT m.out), '') END AS text,
+                   CAST(count(*) FILTER (m.out) AS BIGINT) AS removed_lines
+            FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.text""",
         "op4_warc": f"""
             WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
                  f AS (SELECT body, min(page_id) AS first FROM p GROUP BY body)
