@@ -24,7 +24,7 @@ def test_query_equals_oracle(spark, sf, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = [tuple(r) for r in got.select(*want.columns).collect()]
     assert sorted(map(str, rows)) == sorted(map(str, want.fetchall()))
-    assert rows or name in ("alert_multi", "burst_detect", "alert_threshold", "dedupe_windowed")
+    assert rows or name in ("alert_multi", "burst_detect", "alert_threshold", "alert_writer", "stream_alerts", "dedupe_windowed")
 
 
 def test_entry(spark):

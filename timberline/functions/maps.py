@@ -15,15 +15,17 @@ from timberline.functions.regex import to_java
 KV = r'(?<![^\s])([^\s=]+)=("[^"]*"(?![^\s])|[^\s]+)'
 
 
-def fold_map(items: Column, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
-    """A map of an array's items; of equal keys the last counts. A fold names the array once, whatever its expression."""
-    empty = F.create_map().cast("map<string,string>")
+def last_of_keys(items: Column, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """A map of an array's items; of equal keys the last counts. One sort; arrays of one item name what is computed once."""
 
-    def put(acc: Column, e: Column) -> Column:
-        rest = F.map_filter(acc, lambda k, _: k != key(e))
-        return F.map_concat(rest, F.create_map(key(e), value(e))).cast("map<string,string>")
+    def sorted_of(xs: Column) -> Column:
+        return F.array_sort(F.transform(xs, lambda e, i: F.struct(key(e).alias("key"), i.alias("i"), value(e).alias("value"))))
 
-    return F.reduce(items, empty, put)
+    def last(s: Column) -> Column:
+        kept = F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["key"] != e["key"], F.lit(True)))
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
+
+    return F.get(F.transform(F.array(sorted_of(items)), last), 0)
 
 
 def overlay(fields: Column, extra: Column) -> Column:
@@ -39,7 +41,7 @@ def extract_kv(message: Column, *names: str) -> Column:
     A token counts if its = is neither first nor last. A null message gives an empty map.
     """
     tokens = F.regexp_extract_all(F.coalesce(message, F.lit("")), F.lit(KV), 0)
-    found = fold_map(tokens, lambda t: F.substring_index(t, "=", 1), lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^=]*=", ""), r'^"+|"+$', ""))
+    found = last_of_keys(tokens, lambda t: F.substring_index(t, "=", 1), lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^=]*=", ""), r'^"+|"+$', ""))
     return F.map_filter(found, lambda k, _: k.isin(*names)) if names else found
 
 
@@ -69,7 +71,7 @@ def normalize(fields: Column, rules: Sequence[Rename]) -> Column:
                 out = F.when(F.lower(e["key"]) == name, rule.transform(e["value"])).otherwise(out)
         return out
 
-    return fold_map(F.map_entries(fields), key, value)
+    return last_of_keys(F.map_entries(fields), key, value)
 
 
 def static(values: Mapping[str, str]) -> Callable[[], Column]:

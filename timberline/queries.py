@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import os
 import shutil
 import socket
@@ -16,11 +17,13 @@ from timberline.bindings import log_file, log_lines, plain_time, scratch, table
 from timberline.functions import maps, parse, text
 from timberline.operators import aggregate, combine, detect, events, filters, positions
 from timberline.operators.ordered import Stream
+from timberline.plans import cli
 from timberline.plans.config import Config
 from timberline.plans.indexed import IndexedLog
 from timberline.plans.pipeline import process, slice_lines
 from timberline.sources import lines, logfile, sinks, spots, stores
-from timberline.streaming import follow
+from timberline.streaming import folds, follow, stateful
+from timberline.streaming.stateful import run_fold
 
 KEYS = ("ts", "event_id")
 SINCE, UNTIL = datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc)
@@ -597,6 +600,100 @@ def fanout_sinks(spark, sf):
     return both.select("sink", "value", F.lit(len(failed)).cast("long").alias("failed"))
 
 
+@query(f"SELECT row_number() OVER (ORDER BY start) AS place, start, total FROM ({_bucket_sql('1 HOUR')})")
+def buckets_in_order(spark, sf):
+    """Hourly counts as a sink has written them, with their place in its files."""
+    folder = f"file://{scratch(spark)}"
+    sinks.write_counts(aggregate.bucket_counts(log_lines(spark, sf), timedelta(hours=1)), f"{folder}/counts")
+    # the sink's files have one line a bucket and follow each other by name
+    rows = lines.read_lines(spark, f"{folder}/counts")
+    rows = Stream(rows, ("source_idx", "line_no")).position("place").df
+    fields = F.from_json("raw", "start timestamp, total long")
+    return plain_time(rows.select("place", fields["start"].alias("start"), fields["total"].alias("total")), "start")
+
+
+@query("SELECT event_type AS bucket, raw AS value FROM l WHERE event_type <> ''")
+def bucket_writer(spark, sf):
+    folder = f"file://{scratch(spark)}"
+    sinks.write_buckets(log_lines(spark, sf), f"{folder}/buckets", F.col("event_type"))
+    return spark.read.text(f"{folder}/buckets").select("bucket", "value")
+
+
+@query(f"SELECT alert AS value FROM ({_alert_sql('FATAL', 3, 6, 21600.0, '6h0m0s')})")
+def alert_writer(spark, sf):
+    folder = f"file://{scratch(spark)}"
+    sinks.write_alerts(detect.alerts(log_lines(spark, sf), [_FATAL], KEYS), f"{folder}/alerts")
+    return spark.read.text(f"{folder}/alerts")
+
+
+@query("SELECT 'lines read: ' || count(*) || ', matched: ' || count(*) FILTER (severity_rank >= 3) || ', bytes read: ' || CAST(sum(strlen(raw)) AS BIGINT) || ', elapsed: 1.500s' AS line FROM l")
+def stats_line(spark, sf):
+    found = aggregate.run_stats(log_lines(spark, sf), F.col("severity_rank") >= 3).first().asDict()
+    return spark.createDataFrame([(aggregate.stats_text(found, 1.5),)], "line string")
+
+
+@query("SELECT * FROM (VALUES ('', 'raw'), ('raw', 'raw'), ('Raw', 'raw'), ('RAW', 'raw'), ('json', 'json'), ('Json', 'json'), ('JSON', 'json'), ('jSON', 'unknown'), ('xml', 'unknown')) AS t(name, kind)", raw_sql=True)
+def format_name(spark, sf):
+    def kind(name):
+        try:
+            return text.parse_format(name)
+        except ValueError:
+            return "unknown"
+
+    return spark.createDataFrame([(n, kind(n)) for n in ("", "raw", "Raw", "RAW", "json", "Json", "JSON", "jSON", "xml")], "name string, kind string")
+
+
+@query(f"WITH {_OFFSETS} SELECT line_no, raw FROM o")
+def scan_stdin(spark, sf):
+    with open(log_file(spark, sf), encoding="utf-8", newline="\n") as f:
+        return lines.from_stdin(spark, f).select("line_no", "raw")
+
+
+@query(f"WITH {_OFFSETS} SELECT row_number() OVER (ORDER BY line_no) AS place, raw AS line FROM o WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-10' AND date_trunc('second', ts) <= TIMESTAMP '2024-01-12' AND severity_rank >= 3")
+def cli_slice(spark, sf):
+    """What the command line writes for a time range and a severity."""
+    out = io.StringIO()
+    cli.run(["--since", "2024-01-10 00:00:00", "--until", "2024-01-12 00:00:00", "--severity", "WARN", log_file(spark, sf)], out=out, spark=spark)
+    return spark.createDataFrame(list(enumerate(out.getvalue().splitlines(), 1)), "place long, line string")
+
+
+def _streamed(spark: SparkSession, sf: str, fold: folds.Fold) -> DataFrame:
+    """What a fold gives on the log file as a stream (the message being the event's type), with a last line that marks its end."""
+    folder = scratch(spark)
+    path = shutil.copyfile(log_file(spark, sf), f"{folder}/ended.log")
+    with open(path, "a") as f:
+        f.write("2030-01-01T00:00:00Z INFO end of the log\n")
+    kind = F.regexp_extract("message", r"type=(\w+)", 1)
+    stream = follow.follow(spark, path, start="begin").withColumn("source", F.lit("log")).withColumn("whole", F.col("message")).withColumn("message", kind)
+    out = run_fold(stream, fold, end=F.col("whole") == "end of the log")
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(once=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(f"""WITH {_OFFSETS}, a AS (SELECT line_no, byte_offset, event_type, lag(event_type) OVER (ORDER BY line_no) AS was FROM o),
+  b AS (SELECT *, sum(CASE WHEN was IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM a),
+  c AS (SELECT run, min(byte_offset) AS byte_offset, any_value(event_type) AS message, count(*) - 1 AS more FROM b GROUP BY run)
+  SELECT byte_offset, message FROM c UNION ALL SELECT byte_offset, message || ' [repeated ' || more || ' time(s)]' FROM c WHERE more > 0""")
+def stream_dedupe(spark, sf):
+    return _streamed(spark, sf, folds.dedupe_runs()).select(F.col("line_no").alias("byte_offset"), "message")
+
+
+@query(f"""WITH {_OFFSETS}, t AS (SELECT *, date_trunc('second', ts) AS s FROM o WHERE severity = 'FATAL'),
+  n AS (SELECT byte_offset, count(*) OVER (ORDER BY s RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS near, count(*) OVER (PARTITION BY s) - row_number() OVER (PARTITION BY s ORDER BY byte_offset) AS after FROM t)
+  SELECT byte_offset, near - after AS count FROM n WHERE near - after >= 3""")
+def stream_alerts(spark, sf):
+    return _streamed(spark, sf, folds.threshold_alert("FATAL", 3, 6 * 3_600_000_000)).select(F.col("line_no").alias("byte_offset"), "count")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, severity, count(*) AS n FROM l GROUP BY 1, 2")
+def stream_buckets(spark, sf):
+    """Tumbling windows of a stream."""
+    name = f"buckets_{os.path.basename(scratch(spark)).replace('-', '_')}"
+    counts = stateful.bucket_counts(follow.follow(spark, log_file(spark, sf), start="begin"), "1 hour")
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark)).trigger(once=True).start().awaitTermination()
+    return plain_time(spark.table(name), "start")
+
+
 # --- the whole pipeline -------------------------------------------------------------------------------------------
 
 _CUT = "CASE WHEN strlen(raw) <= 60 THEN raw ELSE substr(raw, 1, 57) || '...' END"

@@ -1,4 +1,4 @@
-"""Writing lines: raw text, JSON, one folder a bucket, alerts."""
+"""Writing lines: raw text, JSON, one folder a bucket, alerts; time buckets in their order."""
 
 from __future__ import annotations
 
@@ -32,3 +32,8 @@ def write_buckets(df: DataFrame, path: str, key: Column, kind: str = "raw") -> N
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
     alerts.select(F.col("alert").alias("value")).write.text(path)
+
+
+def write_counts(counts: DataFrame, path: str) -> None:
+    """JSON lines of time buckets; files and their lines are in the order of the buckets' starts."""
+    counts.orderBy("start").write.json(path)
