@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -15,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_collected: dict[str, float] = {}
 
 # A key that holds more than 1/HOT_SHARE of the rows is hot; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 200
 # A hot key's rows are dealt out to so many tasks at most.
 MOST_SALTS = 1024
+# The driver's garbage is collected after a write, but not more often than that.
+GC_SECONDS = 10.0
 # Text bytes that one numpy step works on.
 CHUNK_BYTES = 1 << 20
 # An Arrow batch holds at most so many bytes and rows.
@@ -57,9 +61,18 @@ def _set(spark: SparkSession, key: str, value: str):
 
 
 def write(df: DataFrame, path: str) -> None:
-    """df as Parquet at path. What was shuffled for it is deleted when it stands: nothing reads that again."""
-    with _set(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    """df as Parquet at path. What was shuffled for it is deleted when it stands: nothing reads that again.
+
+    What executors hold of past jobs (broadcast tables, models and task code, some 100 KB a stage) is freed by Spark once
+    the driver's JVM has found its own references dead. Operators here run many short jobs, and the driver seldom has to
+    collect its garbage; so that is asked for, as ``spark.cleaner.periodicGC.interval`` does, but each GC_SECONDS.
+    """
+    spark = df.sparkSession
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
+    if time.monotonic() - _collected.get("at", -GC_SECONDS) >= GC_SECONDS:
+        _collected["at"] = time.monotonic()
+        spark.sparkContext._jvm.System.gc()
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
