@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import time
@@ -25,9 +26,9 @@ MOST_SALTS = 1024
 # The driver's garbage is collected after a write, but not more often than that.
 GC_SECONDS = 10.0
 # Text bytes that one numpy step works on.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 # An Arrow batch holds at most so many bytes and rows.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,10 +77,11 @@ def write(df: DataFrame, path: str) -> None:
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. Gone when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     write(df, path)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spilled = path
     return out
@@ -91,10 +93,21 @@ def drop(*spilled: DataFrame) -> None:
         delete(df.sparkSession, df._spilled)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's file system for that path."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """A folder that is there is deleted when the driver ends."""
+    p, fs = _file_system(spark, path)
+    fs.deleteOnExit(p)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -135,6 +148,25 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return dealt.join(each, [*keys, "__tl_salt"]).drop("__tl_salt")
 
 
+def give_back() -> None:
+    """Memory that this Python worker has freed goes back to the system: workers are kept, and others' stages follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A function of mapInArrow that gives its memory back at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 # --- text kernels -------------------------------------------------------------------------------------------------
 
 _MASK = (1 << 64) - 1

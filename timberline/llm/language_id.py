@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm._shared import bound_batches, text_buffer
+from timberline.llm._shared import bound_batches, give_back, text_buffer, tidy
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
@@ -98,7 +98,7 @@ class LanguageModel:
         buf, at = _folded(column)
         texts = len(at) - 1
         sums, seen = np.zeros((texts, len(self.languages))), np.zeros(texts, np.int64)
-        step, over = 1 << 18, max(SIZES) - 1
+        step, over = 1 << 17, max(SIZES) - 1
         for a in range(0, len(buf), step):
             i = max(0, int(np.searchsorted(at, a, side="right")) - 1)
             j = min(texts, int(np.searchsorted(at, min(a + step, len(buf)), side="left")))
@@ -182,7 +182,7 @@ def fit(
     cut = [(l, min(2**63 - 1, int((1.3 * each + 20) / n * 2**63))) for l, n in sizes]
     cut = F.broadcast(spark.createDataFrame(cut, "l string, cut long"))  # a row a language
     near = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("k")).bitwiseAND(F.lit(2**63 - 1))).join(cut, "l").filter("h <= cut")
-    near = near.select("l", "h", "t").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_count_batches, "l string, h long, ids binary, n binary")
+    near = near.select("l", "h", "t").repartition(spark.sparkContext.defaultParallelism).mapInArrow(tidy(_count_batches), "l string, h long, ids binary, n binary")
     order = Window.partitionBy("l").orderBy("h", "ids", "n")  # equal counts are equal rows to the fit
     size = F.octet_length("ids") + F.octet_length("n")
     near = near.filter(F.octet_length("ids") > 0).withColumn("place", F.row_number().over(order)).withColumn("bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -254,6 +254,7 @@ def predictor(spark, model: LanguageModel):
     @F.arrow_udf("lang string, score double, rejected boolean")
     def of(text: pa.Array) -> pa.Array:
         lang, score, rejected = shared.value.predict(text)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], fields=list(kind))
 
     return of

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm._shared import HASH_BITS, bound_batches, chunks, drop, join_unique, mix, shingles, spill, text_buffer
+from timberline.llm._shared import HASH_BITS, bound_batches, chunks, drop, join_unique, mix, shingles, spill, text_buffer, tidy
 
 WIDTH = 5
 # Rows of a block of samples, and of texts, which are about BLOCK_BYTES long together.
@@ -57,14 +57,21 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
 
 def _sketch(batches):
     """A task's counters, in blocks (c); those of c = -1 are its number of documents."""
-    total, docs = np.zeros((CELL_ROWS, 1 << CELL_BITS), np.int64), 0
+    total, docs, held = np.zeros((CELL_ROWS, 1 << CELL_BITS), np.int64), 0, []
+
+    def count():
+        for row, place in zip(total, _cells(np.concatenate(held) if held else np.zeros(0, np.uint64))):
+            row += np.bincount(place, minlength=len(row))
+        held.clear()
+
     for batch in batches:
         buf, at = text_buffer(batch.column("t"))
         docs += len(at) - 1
         for i, j in chunks(at):
-            h, _, _ = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], WIDTH)
-            for row, place in zip(total, _cells(h)):
-                row += np.bincount(place, minlength=len(row))
+            held.append(shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], WIDTH)[0])
+            if sum(map(len, held)) >= 1 << 18:
+                count()
+    count()
     blocks = total.reshape(-1, CELL_BLOCK)
     used = np.flatnonzero(blocks.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int32()), pa.array([np.int64(docs).tobytes(), *(blocks[u].tobytes() for u in used)], pa.binary())], ["c", "n"])
@@ -82,7 +89,7 @@ def _added(batches):
 
 def document_shares(texts: DataFrame) -> tuple[int, np.ndarray]:
     """The number of documents (rows of t), and the sketch's counters: of fixed size, whatever the table's."""
-    added = texts.select("t").mapInArrow(_sketch, "c int, n binary").repartition("c").mapInArrow(_added, "c int, n binary")
+    added = texts.select("t").mapInArrow(tidy(_sketch), "c int, n binary").repartition("c").mapInArrow(tidy(_added), "c int, n binary")
     blocks, docs = np.zeros((CELL_ROWS * (1 << CELL_BITS) // CELL_BLOCK, CELL_BLOCK), np.int64), 0
     for r in added.collect():
         if r["c"] < 0:
@@ -165,7 +172,7 @@ def _sign(weights, samples: int, rows: int):
             bands = np.zeros((len(at) - 1, samples // rows), np.int64)
             short = np.zeros((len(at) - 1, samples), np.uint16)
             full = np.zeros(len(at) - 1, bool)
-            for i, j in chunks(at, 1 << 19):
+            for i, j in chunks(at):
                 h, tf, off = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], WIDTH)
                 some = np.flatnonzero(np.diff(off))
                 if not len(some):
@@ -222,7 +229,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
             mask = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    found = spill(both.mapInArrow(run, "a long, b long"), "edges")
+    found = spill(both.mapInArrow(tidy(run), "a long, b long"), "edges")
     drop(ids, *counts)
     return found
 
@@ -363,7 +370,7 @@ def _link_open(members: DataFrame, unique: DataFrame, texts: DataFrame, weights,
     """Verified links (a, b) between the components that meet in a bucket. Spilled. members: bucket, band, id, label, bytes."""
     signs = unique.select("id", "g", "samples")
     cells, used = _in_cells(members, signs.select("id", "samples"), ["samples"], SAMPLE_BLOCK, None, total)
-    found = spill(cells.mapInArrow(_with_candidates(samples, rows, floor), "bucket long, id long").distinct(), "candidates")
+    found = spill(cells.mapInArrow(tidy(_with_candidates(samples, rows, floor)), "bucket long, id long").distinct(), "candidates")
     drop(*used)
     needed = spill(found.select("id").distinct(), "needed")
     few = needed.count() <= SEND_ROWS
@@ -371,7 +378,7 @@ def _link_open(members: DataFrame, unique: DataFrame, texts: DataFrame, weights,
     full = signs.join(mine, ["id", "g"]).select("id", "samples", "t")
     members = spill(members.join(found, ["bucket", "id"], "left_semi"), "members")
     cells, used = _in_cells(members, full, ["samples", "t"], TEXT_BLOCK, BLOCK_BYTES, total)
-    out = spill(cells.mapInArrow(_links(samples, rows, floor, threshold, weights), "a long, b long"), "edges")
+    out = spill(cells.mapInArrow(tidy(_links(samples, rows, floor, threshold, weights)), "a long, b long"), "edges")
     drop(found, needed, members, *used)
     return out
 
@@ -392,7 +399,7 @@ def classes(
     weights = spark.sparkContext.broadcast(Weights(total, counts, smooth))  # of fixed size
 
     signed = texts.select("id", "t", F.unhex(F.sha2("t", 256)).alias("g"))
-    signed = spill(signed.mapInArrow(_sign(weights, samples, rows), "id long, g binary, bands array<long>, samples binary, bytes long"), "samples")
+    signed = spill(signed.mapInArrow(tidy(_sign(weights, samples, rows)), "id long, g binary, bands array<long>, samples binary, bytes long"), "samples")
     # equal texts: one id each
     same = spill(signed.groupBy("g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "same")
     owner = spill(join_unique(signed.select("id", "g"), same, ["g"], "n", total).groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n")), "owner")
@@ -421,6 +428,7 @@ def classes(
     ids = owner.groupBy("id").agg(F.min("rep").alias("rep"))
     found = ids.join(final, "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"))
     drop(labelled, unique)
+    weights.destroy()
     return found
 
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm._shared import bound_batches
+from timberline.llm._shared import bound_batches, tidy
 
 SHORT = 32
 # Texts longer than this are tokenised in parts, cut where white space begins: no token reaches over such a place.
@@ -172,4 +172,4 @@ def pack(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: s
         if rows:
             yield batch_of(rows)
 
-    return narrow.mapInArrow(run, SCHEMA.format(key="k", kind=kind)).withColumnRenamed("k", id_col)
+    return narrow.mapInArrow(tidy(run), SCHEMA.format(key="k", kind=kind)).withColumnRenamed("k", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm._shared import IS_SPACE, bound_batches, chunks, text_buffer, word_hashes
+from timberline.llm._shared import IS_SPACE, bound_batches, chunks, give_back, text_buffer, tidy, word_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "bytes_per_word", "words_per_line", "upper_share", "digit_share", "symbol_share",
@@ -222,7 +222,7 @@ def fit(
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("t")).join(F.broadcast(chosen), id_col)  # sample_rows small rows
     # equal features are equal rows to the fit: with them, an id's several texts have one order
-    found = texts.select("y", "h", "t").mapInArrow(_feature_batches, "y int, h long, x binary").orderBy("h", "x").limit(sample_rows).collect()
+    found = texts.select("y", "h", "t").mapInArrow(tidy(_feature_batches), "y int, h long, x binary").orderBy("h", "x").limit(sample_rows).collect()
     x = np.array([np.frombuffer(r["x"]) for r in found]).reshape(len(found), len(FEATURES))
     return fit_table(x, np.array([float(r["y"] > 0) for r in found]))
 
@@ -233,7 +233,9 @@ def scorer(spark, model: AdditiveModel):
 
     @F.arrow_udf("double")
     def of(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(features(text)), pa.float64())
+        found = pa.array(shared.value.score(features(text)), pa.float64())
+        give_back()
+        return found
 
     return of
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import fingerprints, language_id, line_dedup, minhash_dedup, mixing, packing, quality, topk, url_filter, warc
+from timberline.llm._shared import until_exit
 from timberline.llm.defaults import TOKENIZER, held_out
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(_table(spark, sf_dir, "pages"), path)
+    until_exit(spark, path)
     return warc.summary(spark, path)
 
 

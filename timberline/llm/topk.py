@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm._shared import bound_batches, spill
+from timberline.llm._shared import bound_batches, spill, tidy
 
 SCHEMA = "query_id long, vec_id long, score long"
 BLOCK_SCHEMA = "cell long, ids binary, kind string, weights binary"
@@ -146,11 +146,11 @@ def search(
     blocks = max(1, -(-asked.count() // query_rows))
     groups = -(-2 * spark.sparkContext.defaultParallelism // blocks)
     asked = asked.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).select("cell", "vec_id", "w")
-    asked = asked.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pack(query_rows), BLOCK_SCHEMA)
+    asked = asked.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_pack(query_rows)), BLOCK_SCHEMA)
     asked = asked.select(F.col("cell").alias("q"), F.col("ids").alias("query_ids"), F.col("kind").alias("query_kind"), F.col("weights").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    held = quantise(df, id_col, vector_col, scale).select(F.lit(0).cast("long").alias("cell"), "vec_id", "w").mapInArrow(_pack(candidate_rows, groups), BLOCK_SCHEMA)
+    held = quantise(df, id_col, vector_col, scale).select(F.lit(0).cast("long").alias("cell"), "vec_id", "w").mapInArrow(tidy(_pack(candidate_rows, groups)), BLOCK_SCHEMA)
     held = held.select(F.col("cell").alias("g"), "ids", "kind", "weights", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("q"))
-    found = held.join(asked, ["q", "g"]).mapInArrow(_searcher(k), SCHEMA)
+    found = held.join(asked, ["q", "g"]).mapInArrow(tidy(_searcher(k)), SCHEMA)
     # k rows a query and task
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
