@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from timberline.llm import packing as P
@@ -69,6 +70,53 @@ def test_harmonic_bins_hold_a_fixed_number_of_pieces():
     assert sum(r[2] for r in rows) == 200 * 340 and packer.close() == []
 
 
+def _plain(lengths, capacity):
+    """Pieces (document, start, length) of each sequence, by the rules: reciprocal shares, classes of fixed count, the rest end to end."""
+    bins, waiting = [], defaultdict(list)
+    for doc, n in enumerate(lengths):
+        start = 0
+        while start < n:
+            left = n - start
+            if left >= capacity:
+                size = capacity
+            elif left <= capacity // 32:
+                size = left
+            else:  # the largest share capacity / k that fits
+                size = next(capacity // k for k in range(1, capacity + 1) if capacity <= k * left)
+            mates = waiting[capacity // size]
+            mates.append((doc, start, size))
+            if len(mates) == capacity // size:
+                bins.append(waiting.pop(capacity // size))
+            start += size
+    rest, room = [], capacity
+    for k in sorted(waiting):
+        for doc, start, size in waiting[k]:
+            while size:
+                part = min(size, room)
+                rest.append((doc, start, part))
+                start, size, room = start + part, size - part, room - part
+                if not room:
+                    bins.append(rest)
+                    rest, room = [], capacity
+    return bins + ([rest] if rest else [])
+
+
+@pytest.mark.parametrize("seed,capacity", [(1, 1024), (2, 64), (3, 100), (4, 32)])
+def test_packer_against_plain_rules(seed, capacity):
+    rng = random.Random(seed)
+    lengths = [rng.choice([1, 2, rng.randrange(1, 60), rng.randrange(1, 3 * capacity), capacity]) for _ in range(400)]
+    packer, rows = P.HarmonicPacker(capacity, 5), []
+    for doc, n in enumerate(lengths):
+        rows += packer.add(doc, np.arange(n, dtype=np.uint32))
+    rows += packer.close()
+    got = defaultdict(list)
+    for doc, start, size, crc, total, sequence, offset in rows:
+        assert total == lengths[doc] and offset == sum(x[2] for x in got[sequence])
+        assert crc == zlib.crc32(np.arange(start, start + size, dtype="<u4").tobytes())
+        got[sequence].append((doc, start, size))
+    assert sorted(got) == list(range(5, 5 + len(got))) and [got[s] for s in sorted(got)] == _plain(lengths, capacity)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b c", 5), (3, "a b c", 5), (None, "x", 5)], "doc_id long, text string, length int")
     got = P.pack(docs, TOKENIZER).collect()
