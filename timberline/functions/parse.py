@@ -16,7 +16,7 @@ STAMP = rf"^(?:{_PLAIN}|{_ISO})\z"
 
 def trim_line(raw: Column) -> Column:
     """Without carriage returns and newlines at its end."""
-    return F.regexp_replace(raw, r"[\r\n]+\z", "")
+    return F.rtrim(raw, F.lit("\r\n"))
 
 
 def parse_timestamp(text: Column) -> Column:
