@@ -41,13 +41,15 @@ def path_of(url: Column) -> Column:
 def tokens_of(url: Column) -> Column:
     """The distinct tokens of a URL, sorted; an empty array if it has no ``://``."""
     host, path = host_of(url), F.lower(F.regexp_replace(path_of(url), r"[0-9]+", "#"))
-    labels = F.array_remove(F.split(host, r"\."), "")
+    every = F.split(host, r"\.")
+    labels = F.array_remove(every, "")
+    last, before = F.get(every, F.size(every) - 1), F.get(every, F.size(every) - 2)  # no pattern: long hosts make them slow
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
     tagged = lambda mark, xs: F.transform(xs, lambda x: F.concat(F.lit(mark), x))
     parts = F.concat(
         tagged("h:", labels),
-        tagged("d:", F.filter(F.array(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)), lambda x: x != "")),
-        tagged("t:", F.filter(F.array(F.regexp_extract(host, r"\.([^.]+)$", 1)), lambda x: x != "")),
+        tagged("d:", F.filter(F.array(F.when((last != "") & (before != ""), F.concat(before, F.lit("."), last))), lambda x: x.isNotNull())),
+        tagged("t:", F.filter(F.array(F.when((last != "") & before.isNotNull(), last)), lambda x: x.isNotNull())),
         tagged("p:", F.array_remove(F.split(path, "/"), "")),
         tagged("x:", F.filter(F.array(F.regexp_extract(path, r"\.([a-z#]+)$", 1)), lambda x: x != "")),
         tagged("q:", F.array_remove(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^([^=]*)", 1)), "")),
@@ -98,22 +100,21 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"))
     base = base.select("id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), tokens_of(F.col("u")).alias("tokens"), F.monotonically_increasing_id().alias("row"))
     known = rules.count()
-    parts = -(-known // SEND_RULES)
-    if parts > 1:  # every part has to meet the same rows
-        base = spill(base, "urls")
-    # the inverted index, in parts of about SEND_RULES rules: each page looks up its tokens where it is read, and its
-    # findings meet under its own row number, so that no token, URL or host is a key of a shuffle
-    found = None
-    for part in range(parts):
-        index = rules.filter(F.pmod(F.xxhash64("rule"), F.lit(parts)) == part).select(F.col("rarest").alias("token"), "rule", "confidence")
-        seen = base.withColumn("token", F.explode_outer("tokens")).join(F.broadcast(index), "token", "inner" if part else "left")
-        fits = F.when(F.size(F.array_except("rule", "tokens")) == 0, F.col("confidence"))
-        seen = seen.select("row", "id", "host", "path", fits.alias("confidence"))
-        found = seen if found is None else found.unionByName(seen)
-    if found is None:
-        found = base.withColumn("confidence", F.lit(None).cast("double"))
+    if known:
+        base = spill(base, "urls")  # rows keep their numbers
+        # the inverted index, in parts of about SEND_RULES rules: each token looks its rules up where its page is read, and
+        # a page's rules meet under its own row number, so that no token, URL or host is a key of a shuffle
+        parts, found = -(-known // SEND_RULES), None
+        token = base.select("row", F.explode("tokens").alias("token"))
+        for part in range(parts):
+            index = rules.filter(F.pmod(F.xxhash64("rule"), F.lit(parts)) == part).select(F.col("rarest").alias("token"), "rule", "confidence")
+            seen = token.join(F.broadcast(index), "token").select("row", F.struct("confidence", "rule").alias("r"))
+            found = seen if found is None else found.unionByName(seen)
+        base = base.join(found.groupBy("row").agg(F.collect_list("r").alias("rules")), "row", "left")
+        fits = F.filter("rules", lambda r: F.size(F.array_except(r["rule"], F.col("tokens"))) == 0)
+        found = base.withColumn("confidence", F.array_max(F.transform(fits, lambda r: r["confidence"])))
     else:
-        found = found.groupBy("row", "id", "host", "path").agg(F.max("confidence").alias("confidence"))
+        found = base.withColumn("confidence", F.lit(None).cast("double"))
     text, verdict = fixed_rule(F.col("host"), F.col("path"), fixed)
     mined = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     return found.select(F.col("id").alias(id_col), "host", "path", text.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "confidence")

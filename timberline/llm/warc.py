@@ -100,7 +100,8 @@ def _payloads(spark: SparkSession, path: str) -> DataFrame:
     """sha256, payload, read by buckets, so that a join by sha256 needs no shuffle of them."""
     buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
     table = f"tl_payloads_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {table} (sha256 STRING, payload BINARY) USING parquet OPTIONS (path '{path}/payloads') CLUSTERED BY (sha256) INTO {buckets} BUCKETS")
+    place = f"{path}/payloads".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} (sha256 STRING, payload BINARY) USING parquet OPTIONS (path '{place}') CLUSTERED BY (sha256) INTO {buckets} BUCKETS")
     found = spark.table(table).select("sha256", "payload")
     spark.sql(f"DROP TABLE {table}")  # the frame keeps the layout
     return found
