@@ -6,6 +6,7 @@ from helpers import at
 from pyspark.sql import functions as F
 
 from timberline.functions.parse import parse_lines
+from timberline.operators import ordered
 from timberline.plans import cli
 from timberline.plans.config import Config, from_args, parse_time
 from timberline.plans.logframe import LogFrame
@@ -25,7 +26,9 @@ def test_slice(spark):
     assert slice_lines(df, parse_time("2024-01-15T10:00:30"), parse_time("2024/01/15 10:01:30")).count() == 1
 
 
-def test_pipeline_order(spark):
+@pytest.mark.parametrize("rows_of_a_range", [400_000, 5])
+def test_pipeline_order(spark, monkeypatch, rows_of_a_range):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", rows_of_a_range)
     rows = [f"2024-01-15T10:00:{i // 2:02d}Z {'INFO' if i % 5 else 'DEBUG'} message number {'a' if i < 10 else i}" for i in range(40)]
     df = parse_lines(_raw(spark, *rows))
     got = process(df, Config(min_severity="INFO", dedupe=True, sample_rate=2, rate_limit=1, max_line_len=30), keys=("line_no", "message")).orderBy("line_no").collect()

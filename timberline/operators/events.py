@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.ordered import Stream
+from timberline.operators.ordered import Ranges, Stream
 
 ORDER = ("line_no",)
 
@@ -26,19 +26,21 @@ def _with_stream_row(df: DataFrame, small: DataFrame, by: Sequence[str]) -> Data
     return df.join(renamed, on).drop(*[f"_k{i}" for i in range(len(by))])
 
 
-def sample_every(df: DataFrame, n: int, keys: Sequence[str] = ORDER, by: Sequence[str] = ()) -> DataFrame:
-    """Rows n, 2n, 3n, ... of each stream; n < 1 counts as 1."""
+def sample_every(df: DataFrame, n: int, keys: Sequence[str] = ORDER, by: Sequence[str] = (), ranges: Ranges | None = None) -> DataFrame:
+    """Rows n, 2n, 3n, ... of each stream; n < 1 counts as 1. ranges: of the first key, if they are known already."""
     if n <= 1:
         return df
-    return Stream(df, keys, by).position("_n").df.filter(F.col("_n") % n == 0).drop("_n")
+    return Stream(df, keys, by, ranges).position("_n").df.filter(F.col("_n") % n == 0).drop("_n")
 
 
-def dedupe_runs(df: DataFrame, keys: Sequence[str] = ORDER, by: Sequence[str] = (), message: str = "message", repeats: str = "repeats") -> DataFrame:
+def dedupe_runs(
+    df: DataFrame, keys: Sequence[str] = ORDER, by: Sequence[str] = (), message: str = "message", repeats: str = "repeats", ranges: Ranges | None = None,
+) -> DataFrame:
     """Of each run of equal messages the first row, then, if c more followed, a copy with " [repeated c time(s)]".
 
     Column ``repeats`` is 0 for the first row and c for the copy. Null messages equal each other.
     """
-    s = Stream(df, keys, by).position_and_last(F.struct(F.col(message)), "_n", "_was", "_total")
+    s = Stream(df, keys, by, ranges).position_and_last(F.struct(F.col(message)), "_n", "_was", "_total")
     new = F.col("_was").isNull() | ~F.col("_was")[message].eqNullSafe(F.col(message))
     # a run's length is the distance to the next run's head, or to the stream's end
     heads = s._with(s._df.filter(new).drop("_was")).next_of_ranges(F.col("_n"), "_later")

@@ -56,6 +56,11 @@ class Ranges:
         picked = found["q"] if want >= QUANTILES else [found["q"][i * QUANTILES // want - 1] for i in range(1, want)]
         return cls(sorted(set(picked)), -(-want // QUANTILES), found["top"])
 
+    @classmethod
+    def by_key(cls, df: DataFrame, key: str) -> Ranges:
+        """Of a column that is a stream's first key. They do for every stream made of these rows, or of some of them."""
+        return cls.of(df, _number(key, dict(df.dtypes)[key]))
+
     def __len__(self) -> int:
         return (len(self.cuts) + 1) * self.fine
 
