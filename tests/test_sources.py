@@ -167,6 +167,20 @@ def test_bad_reads(spark, tmp_path):
     assert [r["raw"] for r in from_stdin(spark, io.StringIO("a\r\nb")).collect()] == ["a", "b"]
 
 
+@pytest.mark.parametrize("text", ["", "\n", "a", "a\n\nb\r\n", "\ufeffa\r\r\n\u2028 b\n" + "".join(f"é {i}\n" for i in range(300)) + "tail"])
+def test_stdin_in_batches(spark, monkeypatch, text):
+    """A long stream is never held whole: no batch that leaves the driver's Python has more than STDIN_CHARS and a line."""
+    sizes, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(lines_, "STDIN_CHARS", 5000)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: sizes.append(len(data)) or create(self, data, *a, **k))
+    got = [tuple(r) for r in from_stdin(spark, io.StringIO(text)).orderBy("line_no").collect()]
+    want, at = [], 0
+    for i, line in enumerate(text.encode().split(b"\n")[: text.count("\n") + (text[-1:] not in ("\n", ""))]):
+        want.append(("-", 0, i, at, line.removesuffix(b"\r").decode()))
+        at += len(line) + 1
+    assert got == want and max(sizes) <= 50 and sum(sizes) == len(want)
+
+
 def test_batch_reader(spark, tmp_path, monkeypatch):
     data = b"".join(b"line %d\n" % i for i in range(100)) + b"tail"
     p = tmp_path / "a.log"

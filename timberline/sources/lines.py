@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import gzip
 import io
+import shutil
+import tempfile
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,9 @@ GZIP_MAGIC = b"\x1f\x8b"
 GZIP_NAMES = (".gz", ".gzip")
 # Lines of a batch that is inflated at a time, and files that are looked at at once.
 BATCH_LINES, LOOKERS = 10_000, 32
+# Characters of standard input that the driver holds, a line counting as LINE_CHARS more.
+STDIN_CHARS, LINE_CHARS = 16 << 20, 100
+STDIN_SCHEMA = "source string, source_idx int, line_no long, byte_offset long, raw string"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -133,11 +141,46 @@ def source_sizes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select(F.col("path").alias("source"), F.col("length").alias("bytes"))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors see, gone when the driver ends: below spark.checkpoint.dir, or in local mode a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        path = f"{shared.rstrip('/')}/timberline-stdin-{uuid.uuid4().hex}"
+        p, fs = _file_system(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        return path
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = tempfile.mkdtemp(prefix="timberline-stdin-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def from_stdin(spark: SparkSession, stream) -> DataFrame:
-    """Lines of an open text stream, read on the driver (a terminal or a pipe)."""
-    rows, at = [], 0
-    for i, line in enumerate(stream):
+    """Lines of an open text stream, read on the driver (a terminal or a pipe).
+
+    The driver holds a batch of STDIN_CHARS or so. A stream of more than one batch goes to the shared folder as Parquet.
+    """
+    path, at, number = None, 0, 0
+    lines, starts, held = [], [], 0
+
+    def batch() -> DataFrame:
+        columns = [pa.repeat("-", len(lines)), pa.repeat(pa.scalar(0, pa.int32()), len(lines)), pa.array(range(number - len(lines), number), pa.int64()), pa.array(starts, pa.int64()), pa.array(lines, pa.string())]
+        return spark.createDataFrame(pa.table(columns, ["source", "source_idx", "line_no", "byte_offset", "raw"]), STDIN_SCHEMA)
+
+    for line in stream:
+        if held >= STDIN_CHARS:
+            path = path or _shared_folder(spark)
+            batch().coalesce(1).write.mode("append").parquet(path)
+            lines, starts, held = [], [], 0
         raw = line.removesuffix("\n")
-        rows.append(("-", 0, i, at, raw.removesuffix("\r")))
+        lines.append(raw.removesuffix("\r"))
+        starts.append(at)
         at += len(raw.encode()) + 1
-    return spark.createDataFrame(rows, "source string, source_idx int, line_no long, byte_offset long, raw string")
+        number, held = number + 1, held + len(line) + LINE_CHARS
+    if not path:
+        return batch()
+    batch().coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(STDIN_SCHEMA).parquet(path)
