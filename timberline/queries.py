@@ -266,12 +266,12 @@ _ALERT_COLS = ("event_id", "fired_at", "severity", "count", "threshold", "window
 
 @query(_alert_sql("FATAL", 3, 6, 21600.0, "6h0m0s"))
 def alert_threshold(spark, sf):
-    return plain_time(detect.alerts(log_lines(spark, sf), [_FATAL], KEYS).select(*_ALERT_COLS), "fired_at")
+    return plain_time(detect.alerts(log_lines(spark, sf), [_FATAL], KEYS, peers=True).select(*_ALERT_COLS), "fired_at")
 
 
 @query(f"SELECT *, 'pager' AS target FROM ({_alert_sql('FATAL', 3, 6, 21600.0, '6h0m0s')}) UNION ALL SELECT *, 'mail' AS target FROM ({_alert_sql('WARN', 5, 1, 3600.0, '1h0m0s')})")
 def alert_multi(spark, sf):
-    found = detect.multi_alerts(log_lines(spark, sf), {"pager": [_FATAL], "mail": [_WARN]}, KEYS)
+    found = detect.multi_alerts(log_lines(spark, sf), {"pager": [_FATAL], "mail": [_WARN]}, KEYS, peers=True)
     return plain_time(found.select(*_ALERT_COLS, "target"), "fired_at")
 
 
@@ -280,13 +280,13 @@ _BURST = "count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND
 
 @query(f"SELECT event_id, {_BURST} AS in_window, {_BURST} / 3600.0::DOUBLE AS rate FROM l")
 def burst_rate(spark, sf):
-    return detect.burst_rate(log_lines(spark, sf), timedelta(hours=1), KEYS).select("event_id", "in_window", "rate")
+    return detect.burst_rate(log_lines(spark, sf), timedelta(hours=1), KEYS, peers=True).select("event_id", "in_window", "rate")
 
 
 @query(f"""WITH r AS (SELECT event_id, ts, {_BURST} AS n FROM l), w AS (SELECT *, coalesce(lag(n) OVER ({_O}), 0) AS was FROM r)
   SELECT event_id, ts FROM w WHERE n >= 24 AND was < 24""")
 def burst_detect(spark, sf):
-    return plain_time(detect.bursts(log_lines(spark, sf), 24 / 3600, timedelta(hours=1), KEYS).select("event_id", "ts"), "ts")
+    return plain_time(detect.bursts(log_lines(spark, sf), 24 / 3600, timedelta(hours=1), KEYS, peers=True).select("event_id", "ts"), "ts")
 
 
 # --- text and fields ----------------------------------------------------------------------------------------------
@@ -622,7 +622,7 @@ def bucket_writer(spark, sf):
 @query(f"SELECT alert AS value FROM ({_alert_sql('FATAL', 3, 6, 21600.0, '6h0m0s')})")
 def alert_writer(spark, sf):
     folder = f"file://{scratch(spark)}"
-    sinks.write_alerts(detect.alerts(log_lines(spark, sf), [_FATAL], KEYS), f"{folder}/alerts")
+    sinks.write_alerts(detect.alerts(log_lines(spark, sf), [_FATAL], KEYS, peers=True), f"{folder}/alerts")
     return spark.read.text(f"{folder}/alerts")
 
 
