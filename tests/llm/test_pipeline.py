@@ -37,6 +37,19 @@ def test_stages(spark, sf, tmp_path):
     assert all(pieces[d] == copies[d] * total[d] for d in copies) and max(copies.values()) <= 2
 
 
+def test_stages_begin_with_free_executors(monkeypatch):
+    class Freed(Exception):
+        pass
+
+    def free(spark):
+        raise Freed
+
+    monkeypatch.setattr(C, "free_executors", free)
+    for _, stage in C.STAGES:
+        with pytest.raises(Freed):
+            stage(None, None, "")
+
+
 def test_run(spark, sf):
     assert C.run(spark, sf).count() > 0
 

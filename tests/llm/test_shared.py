@@ -1,8 +1,11 @@
 """Shared storage, joins with hot keys, settings."""
 
 import os
+import subprocess
+import sys
 import types
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +67,36 @@ def test_a_cluster_needs_a_shared_folder():
     assert S.shared_dir(session) == "viewfs://shared/folder"
 
 
+_CLUSTER = """
+import re, psutil
+from pyspark.sql import SparkSession
+from timberline.llm._shared import free_executors
+
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").getOrCreate()
+
+
+def held():
+    procs = [p for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline())]
+    return sum(int(x) for p in procs for x in re.findall(r"\\nPss_Anon:\\s+(\\d+)", open(f"/proc/{p.pid}/smaps_rollup").read())) // 1024
+
+
+for _ in range(2):
+    spark.range(2_000_000).selectExpr("id", "repeat(cast(id as string), 12) as t").repartition(2).sortWithinPartitions("t").write.format("noop").mode("overwrite").save()
+full = held()
+free_executors(spark)
+free_executors(spark)
+print("MB", full, held())
+"""
+
+
+def test_executors_give_memory_back(tmp_path):
+    pytest.importorskip("psutil")
+    env = os.environ | {"TMPDIR": str(tmp_path), "SPARK_LOCAL_DIRS": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    done = subprocess.run([sys.executable, "-c", _CLUSTER], env=env, capture_output=True, text=True, timeout=300)
+    full, left = map(int, done.stdout.split("MB ")[1].split())
+    assert full > 500 and left < full - 150, (full, left)
+
+
 def test_smaller_batches_of_the_session_are_kept(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import time
@@ -76,6 +77,20 @@ def write(df: DataFrame, path: str) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def free_executors(spark: SparkSession) -> None:
+    """Executors give the heap that no object needs any more back to the system, and free what past jobs have left there.
+
+    A JVM keeps the heap it once had committed until it collects all of its garbage, which a large heap may never need;
+    Python workers need memory beside it. The driver collects first, so that executors drop its dead broadcasts. A task a
+    core has executors collect theirs. In local mode there is but one JVM.
+    """
+    spark.sparkContext._jvm.System.gc()
+    _collected["at"] = time.monotonic()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        cores = spark.sparkContext.defaultParallelism
+        spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. Gone when the driver ends."""
     spark = df.sparkSession
